@@ -1,0 +1,74 @@
+"""Compare registered queries with their oracles.
+
+python tests/oracle.py [sf_dir] [query ...]
+"""
+
+from __future__ import annotations
+
+import sys
+import time
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+          "labels conversations").split()
+
+
+def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return connection
+
+
+_KINDS = {"tinyint": "int", "smallint": "int", "integer": "int", "int": "int", "bigint": "bigint",
+          "varchar": "string", "string": "string", "boolean": "boolean", "double": "double"}
+
+
+def compare(df, sql: str, connection: duckdb.DuckDBPyConnection) -> str | None:
+    """None if both give the same columns, types and rows, else what differs."""
+    result = connection.execute(sql)
+    wanted_types = {d[0]: _KINDS.get(str(d[1]).lower(), str(d[1]).lower()) for d in result.description}
+    types = {name: _KINDS.get(kind, kind) for name, kind in df.dtypes}
+    if types.keys() != wanted_types.keys():
+        return f"columns {sorted(types)} != {sorted(wanted_types)}"
+    order = sorted(types)
+    places = [[d[0] for d in result.description].index(c) for c in order]
+    wanted = Counter(tuple(row[i] for i in places) for row in result.fetchall())
+    got = Counter(tuple(row[c] for c in order) for row in df.collect())
+    if got != wanted:
+        extra, lacking = list((got - wanted).items()), list((wanted - got).items())
+        return (f"rows {sum(got.values())} != {sum(wanted.values())}; {len(extra)} extra, {len(lacking)} lacking; "
+                f"e.g. {order}\n  spark  {str(extra[:1])[:700]}\n  oracle {str(lacking[:1])[:700]}")
+    differing = {c: (types[c], wanted_types[c]) for c in types if types[c] != wanted_types[c]}
+    return f"types {differing}" if differing else None
+
+
+def main() -> None:
+    from tests.conftest import make_session
+
+    import __spark_entry__ as entry
+
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(entry.queries())
+    spark, connection = make_session(), oracle_connection(sf_dir)
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    failed = 0
+    for name in names:
+        start = time.time()
+        try:
+            df = queries[name](spark, sf_dir)
+            problem = compare(df, oracles[name], connection) if name in oracles else f"(no oracle) {df.count()} rows"
+        except Exception as error:  # noqa: BLE001
+            problem = f"{type(error).__name__}: {str(error)[:1500]}"
+        failed += problem is not None
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+    print(f"{len(names) - failed} of {len(names)} agree")
+
+
+if __name__ == "__main__":
+    main()
