@@ -134,7 +134,7 @@ def court_pages(spark, sf):
   chr(10) || chr(10) || 'Se DECLARA CON LUGAR <' || tema || '>, ANULADA' || chr(10) || chr(10) || 'Decisión' ||
   chr(10) || 'fin' AS t FROM dec),
 parts AS (SELECT arrival, list_filter(list_transform(string_split(t, chr(10) || chr(10)),
-  x -> trim(x, chr(9) || chr(10) || chr(13) || ' ' || chr(160))), x -> x <> '') AS l FROM texts),
+  lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ' || chr(160))), lambda x: x <> '') AS l FROM texts),
 rows AS (SELECT arrival, CAST(generate_subscripts(l, 1) - 1 AS INT) AS parrafo, unnest(l) AS p FROM parts),
 marked AS (SELECT arrival, parrafo, p, regexp_matches(lower(p),
   '^(i+|ii+|iii+|iv+|v+|de la competencia|motivación|consideraciones|antecedentes|decisión|del recurso interpuesto)$')

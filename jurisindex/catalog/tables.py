@@ -128,8 +128,8 @@ for _name, _char in _ENTITIES:
     _SHOWN = f"replace({_SHOWN}, '{_name}', {_char})"
 _PAGE_TEXT = f"""
 texts AS (SELECT page_id, url, list_aggregate(list_filter(list_transform(
-  string_split_regex({_SHOWN}, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e]'), x -> trim(x, chr(9) || chr(32) || chr(160))),
-  x -> x <> ''), 'string_agg', chr(10) || chr(10)) AS t FROM pages)"""
+  string_split_regex({_SHOWN}, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e]'), lambda x: trim(x, chr(9) || chr(32) || chr(160))),
+  lambda x: x <> ''), 'string_agg', chr(10) || chr(10)) AS t FROM pages)"""
 
 
 @query("page_text", f"WITH {_PAGE_TEXT} SELECT page_id, url, t AS texto_completo FROM texts")

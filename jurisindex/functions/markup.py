@@ -23,7 +23,7 @@ MARKUP = HIDDEN + "|" + TAG
 ANCHOR = (r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>"""
           r"""(.*?)(?=</a\b|<a\s|\z)""")
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
-_ALL = 2**31 - 1
+ALL = 2**30  # longer than any array; `slice` adds it to the start
 
 
 @lru_cache(maxsize=1)
@@ -56,7 +56,7 @@ def decode_entities(c: Column | str) -> Column:
     pieces = F.split(c, "&")
     decoded = F.concat(
         F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, 2, _ALL), _decode_piece), ""),
+        F.array_join(F.transform(F.slice(pieces, 2, ALL), _decode_piece), ""),
     )
     return F.when(c.contains("&"), decoded).otherwise(c)
 
@@ -109,13 +109,13 @@ def hrefs(html: Column) -> Column:
 
 def table_rows(html: Column) -> Column:
     """Inner markup of every table row; an unclosed row ends where the next one starts."""
-    pieces = F.slice(F.split(html, r"(?i)<tr\b[^>]*>"), 2, _ALL)
+    pieces = F.slice(F.split(html, r"(?i)<tr\b[^>]*>"), 2, ALL)
     return F.transform(pieces, lambda p: F.get(F.split(p, r"(?i)</(?:tr|table)\s*>", 2), F.lit(0)))
 
 
 def table_cells(row: Column) -> Column:
     """Trimmed text of every cell of a row."""
-    pieces = F.slice(F.split(row, r"(?i)<t[dh]\b[^>]*>"), 2, _ALL)
+    pieces = F.slice(F.split(row, r"(?i)<t[dh]\b[^>]*>"), 2, ALL)
     return F.transform(
         pieces, lambda p: node_text(F.get(F.split(p, r"(?i)</t[dh]\s*>", 2), F.lit(0)))
     )

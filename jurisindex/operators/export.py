@@ -52,8 +52,9 @@ def catalog_total(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes inside fields are doubled and line ends kept."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; quotes inside fields are doubled, line ends and outer spaces kept."""
+    whole = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, **whole).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

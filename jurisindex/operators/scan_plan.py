@@ -13,8 +13,8 @@ def scan_plan(spark: SparkSession, sala_key: str, ano_inicio: int, ano_fin: int)
     years = F.sequence(F.lit(ano_inicio), F.lit(ano_fin)) if ano_inicio <= ano_fin else F.array().cast("array<int>")
     return (
         dim_sala(spark)
-        .where(F.col("key").isin(sala_keys(sala_key)))
-        .select(F.col("key").alias("sala_key"), "code", "portal_id", "nombre", F.explode(years).alias("ano"))
+        .where(F.col("sala_key").isin(sala_keys(sala_key)))
+        .select("sala_key", "code", "portal_id", "nombre", F.explode(years).alias("ano"))
     )
 
 
