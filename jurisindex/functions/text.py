@@ -9,9 +9,9 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace, as characters (for trims) and as a regular-expression class.
+# Unicode whitespace, as characters (for trims) and as a regular expression.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 # Characters that end a line.
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
@@ -38,7 +38,7 @@ def is_blank(value: str | None) -> bool:
 
 def clean_text(c: Column | str) -> Column:
     """Collapse every whitespace run to one space and trim; null becomes ''."""
-    return F.trim(F.regexp_replace(text(c), WHITESPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(text(c), WHITESPACE_RUN, " "))
 
 
 @lru_cache(maxsize=1)
@@ -64,10 +64,12 @@ def fold(c: Column | str) -> Column:
     """Accent- and case-insensitive form of a text; null becomes ''.
 
     One `translate` pass replaces accented letters and deletes combining marks, which have
-    no counterpart in the shorter target alphabet.
+    no counterpart in the shorter target alphabet.  Plain ASCII texts skip it.
     """
     source, target = _fold_alphabet()
-    return F.lower(strip(F.translate(text(c), source + _MARKS, target)))
+    c = text(c)
+    is_ascii = F.octet_length(c) == F.char_length(c)
+    return F.lower(strip(F.when(is_ascii, c).otherwise(F.translate(c, source + _MARKS, target))))
 
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

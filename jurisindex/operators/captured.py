@@ -14,18 +14,28 @@ FIELDS = ["sala", "numero_sentencia", "expediente", "fecha", "ano", "tema", "mat
 _POSITION_BITS = 24
 
 
+def row_struct(pos: Column, patron: Column, **fields: Column) -> Column:
+    """One found decision; every way of finding them makes the same struct."""
+    return F.struct(
+        pos.cast("int").alias("pos"), patron.alias("patron"), *[fields[f].alias(f) for f in FIELDS[1:]]
+    )
+
+
 def arrival_of(resp_id: Column | str, pos: Column | str) -> Column:
     """One ascending number for (response, position)."""
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.shiftleft(resp_id, _POSITION_BITS) + pos.cast("bigint")
 
 
-def captured_rows(df: DataFrame, *extra: str) -> DataFrame:
-    """Adds `arrival` and the chamber's name, and puts the columns in order."""
-    return df.select(
-        arrival_of("resp_id", "pos").alias("arrival"),
-        "sala_key",
-        sala_name("sala_key").alias("sala"),
-        *FIELDS[1:],
-        *extra,
+def captured_rows(responses: DataFrame, found: Column) -> DataFrame:
+    """One canonical row per element of `found`, an array of `row_struct`."""
+    return (
+        responses.select("resp_id", "sala_key", F.explode(found).alias("d"))
+        .select(
+            arrival_of("resp_id", F.col("d.pos")).alias("arrival"),
+            "sala_key",
+            sala_name("sala_key").alias("sala"),
+            *[F.col("d")[f].alias(f) for f in FIELDS[1:]],
+            F.col("d.patron").alias("patron"),
+        )
     )
