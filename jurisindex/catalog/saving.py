@@ -156,14 +156,17 @@ def sync_filtered(spark, sf):
     return upsert(None, accepted).select("link_directo", "tema", "fecha", "first_seen")
 
 
-def _written_responses(spark, sf):
-    path = new_folder(spark, "responses")
-    single_responses(decisions(spark, sf)).write.parquet(path)
-    return path
+def _write_files(df, path):
+    """Write a stream's input as several files, at most some thousands; returns a third of their number."""
+    per_file = max(5_000, df.count() // 3_000)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
+    return -(-len(df.sparkSession.read.parquet(path).inputFiles()) // 3)
 
 
 def _streamed_store(spark, sf):
-    source = stream_responses(spark, _written_responses(spark, sf), files_per_trigger=4)
+    written = new_folder(spark, "responses")
+    third = _write_files(single_responses(decisions(spark, sf)), written)
+    source = stream_responses(spark, written, files_per_trigger=third)
     path = new_folder(spark, "store")
     stream = sync_stream(
         source, path, new_folder(spark, "progress"), every=None,
@@ -175,7 +178,7 @@ def _streamed_store(spark, sf):
 
 @query("stream_upsert", _SYNCED + f"SELECT {_COLUMNS} FROM store")
 def stream_upsert(spark, sf):
-    """The same sync as a stream over files of responses, several micro-batches long."""
+    """The same sync as a stream over files of responses, three micro-batches long."""
     return _streamed_store(spark, sf).select(*_COLUMNS.split(", "))
 
 
@@ -192,8 +195,8 @@ def stream_stats(spark, sf):
 def counts_of_stream(spark, sf):
     written = new_folder(spark, "decisions")
     dec = decisions(spark, sf).select("arrival", "sala")
-    dec.write.parquet(written)
-    source = spark.readStream.schema(dec.schema).option("maxFilesPerTrigger", 2).parquet(written)
+    third = _write_files(dec, written)
+    source = spark.readStream.schema(dec.schema).option("maxFilesPerTrigger", third).parquet(written)
     path = new_folder(spark, "counts")
     stream_counts(source, path, new_folder(spark, "progress"), every=None).awaitTermination()
     return spark.read.schema("sala string, n bigint").parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +109,8 @@ def upsert(store: DataFrame | None, batch: DataFrame, keys: tuple[str, ...] = (K
 # buckets it touches; buckets split a large chamber over many tasks and files.
 
 PARTITIONS = ["sala_key", "bucket"]
+# Good for some 100 GB.  A bucket of the largest chamber is merged by one task, so take enough
+# buckets to keep it at a few GB; the number is fixed when the store is created.
 DEFAULT_BUCKETS = 16
 
 
@@ -122,9 +123,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def touched_part(stored: DataFrame, reduced: DataFrame) -> DataFrame:
+    """Stored rows of the buckets that a batch touches.
+
+    The broadcast list has at most (chambers x buckets) rows, whatever the size of the batch.  The
+    comparison with 0 holds for every bucket; it marks the list as selective, without which Spark
+    would not use it to prune the directories of the scan.
+    """
+    touched = reduced.where(F.col("bucket") >= 0).select(*PARTITIONS).distinct()
+    return stored.join(F.broadcast(touched), PARTITIONS, "left_semi")
 
 
 def save_batch(
@@ -132,11 +139,11 @@ def save_batch(
 ) -> None:
     """Merge accepted rows into the saved store, one row per chamber and link.
 
-    The batch is first reduced to one row per link.  Then only the touched buckets are read (the
-    small list of them prunes the scan), merged and replaced.  The one shuffle of stored rows is
-    by bucket, which serves both the merge and the write.  Doing it again changes nothing, so a
-    job that is repeated after a failure is harmless.  The number of buckets is fixed when the
-    store is created and must stay the same.
+    The batch is first reduced to one row per link and written next to the store, in a directory
+    that readers skip: it is read twice from there, and a lost executor does not make Spark extract
+    it again.  Then only the touched buckets are read, merged and replaced.  The one shuffle of
+    stored rows is by bucket, which serves both the merge and the write.  Doing it again changes
+    nothing, so a job that is repeated after a failure is harmless.  One writer at a time.
     """
     spark = batch.sparkSession
     stamped = batch.select(
@@ -144,13 +151,11 @@ def save_batch(
     )
     reduced = upsert(None, stamped, ("sala_key", KEY)).withColumns(
         {FOLDED_COLUMN: folded_fields(), "bucket": bucket_of(buckets)}
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    versions = reduced
-    if store_exists(spark, path):
-        # At most (chambers x buckets) rows, whatever the size of the batch.
-        touched = F.broadcast(reduced.select(*PARTITIONS).distinct())
-        stored = read_store(spark, path).join(touched, PARTITIONS, "left_semi")
-        versions = stored.unionByName(reduced)
+    )
+    staging = f"{path}/_staging"
+    reduced.write.mode("overwrite").parquet(staging)
+    reduced = spark.read.schema(STORE_SCHEMA).parquet(staging)
+    versions = touched_part(read_store(spark, path), reduced).unionByName(reduced)
     merged = merge_versions(versions.repartition(*PARTITIONS), (*PARTITIONS, KEY))
     (
         merged.write.mode("overwrite")
@@ -158,4 +163,3 @@ def save_batch(
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
-    reduced.unpersist()
