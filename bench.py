@@ -45,6 +45,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(2 * int(CPUS)))
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -91,7 +92,7 @@ def headline(spark: SparkSession, t: dict[str, DataFrame]) -> dict:
     def streamed() -> None:
         files = len(t["singles"].inputFiles())
         sync_stream(
-            stream_responses(spark, t["singles"].inputFiles()[0].rsplit("/", 1)[0], files_per_trigger=-(-files // 4)),
+            stream_responses(spark, t["singles"].inputFiles()[0].rsplit("/", 1)[0], files_per_trigger=-(-files // 2)),
             new_folder(spark, "bench-store"), new_folder(spark, "bench-progress"), every=None,
             scanned_at=STAMP, extract=extract,
         ).awaitTermination()

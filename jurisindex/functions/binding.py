@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def text_map(table: dict[str, str]) -> Column:
+    """A constant map.  It is one literal, which Catalyst reads once while planning."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with the value made once per row.
 

@@ -13,6 +13,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jurisindex.functions.binding import text_map
 from jurisindex.functions.text import LINE_BREAK, col, strip, text
 
 # Comments and elements whose text is never shown.
@@ -23,6 +24,7 @@ MARKUP = HIDDEN + "|" + TAG
 ANCHOR = (r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>"""
           r"""(.*?)(?=</a\b|<a\s|\z)""")
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
+_CUT = "\u0001"
 ALL = 2**30  # longer than any array; `slice` adds it to the start
 
 
@@ -33,7 +35,7 @@ def _named_entities() -> dict[str, str]:
 
 def _decode_piece(piece: Column) -> Column:
     """`piece` is the text after an '&'."""
-    names = F.create_map(*[F.lit(x) for pair in _named_entities().items() for x in pair])
+    names = text_map(_named_entities())
     name = F.regexp_extract(piece, ENTITY, 1)
     size = F.length(F.regexp_extract(piece, ENTITY, 0))
     code = F.when(
@@ -68,10 +70,17 @@ def visible_text(html: Column | str) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n\n")
 
 
+def _split(html: Column, pattern: str) -> Column:
+    """Like `split`, which compiles its pattern for every row unless that is one plain character."""
+    return F.split(F.regexp_replace(html, pattern, _CUT), _CUT)
+
+
 def node_text(html: Column | str) -> Column:
     """Text of a fragment: every text node trimmed, joined without a separator."""
-    nodes = F.split(text(html), MARKUP)
-    return F.array_join(F.transform(nodes, lambda node: strip(decode_entities(node))), "")
+    html = text(html)
+    nodes = F.transform(_split(html, MARKUP), lambda node: strip(decode_entities(node)))
+    # Most cells hold one text and no markup.
+    return F.when(html.contains("<"), F.array_join(nodes, "")).otherwise(strip(decode_entities(html)))
 
 
 def without_hidden(html: Column | str) -> Column:
@@ -109,16 +118,14 @@ def hrefs(html: Column) -> Column:
 
 def table_rows(html: Column) -> Column:
     """Inner markup of every table row; an unclosed row ends where the next one starts."""
-    pieces = F.slice(F.split(html, r"(?i)<tr\b[^>]*>"), 2, ALL)
-    return F.transform(pieces, lambda p: F.get(F.split(p, r"(?i)</(?:tr|table)\s*>", 2), F.lit(0)))
+    pieces = F.slice(_split(html, r"(?i)<tr\b[^>]*>"), 2, ALL)
+    return F.transform(pieces, lambda piece: F.regexp_replace(piece, r"(?is)</(?:tr|table)\s*>.*", ""))
 
 
 def table_cells(row: Column) -> Column:
     """Trimmed text of every cell of a row."""
-    pieces = F.slice(F.split(row, r"(?i)<t[dh]\b[^>]*>"), 2, ALL)
-    return F.transform(
-        pieces, lambda p: node_text(F.get(F.split(p, r"(?i)</t[dh]\s*>", 2), F.lit(0)))
-    )
+    pieces = F.slice(_split(row, r"(?i)<t[dh]\b[^>]*>"), 2, ALL)
+    return F.transform(pieces, lambda piece: node_text(F.regexp_replace(piece, r"(?is)</t[dh]\s*>.*", "")))
 
 
 def hosted(href: Column, hosts: tuple[str, ...]) -> Column:

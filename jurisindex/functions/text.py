@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jurisindex.functions.binding import let, text_map
+
 # Unicode whitespace, as characters (for trims) and as a regular expression.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
@@ -28,8 +30,14 @@ def text(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim Unicode whitespace at both ends."""
-    return F.btrim(col(c), F.lit(WHITESPACE))
+    """Trim Unicode whitespace at both ends.
+
+    Trimming a set of characters first measures every character of the text, so it is left out
+    where the first and the last one show that there is nothing to trim.
+    """
+    c = col(c)
+    at_end = lambda pos: F.lit(WHITESPACE).contains(F.substring(c, pos, 1))
+    return F.when(at_end(1) | at_end(-1), F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def is_blank(value: str | None) -> bool:
@@ -69,7 +77,8 @@ def fold(c: Column | str) -> Column:
     source, target = _fold_alphabet()
     c = text(c)
     is_ascii = F.octet_length(c) == F.char_length(c)
-    return F.lower(strip(F.when(is_ascii, c).otherwise(F.translate(c, source + _MARKS, target))))
+    plain = let(F.translate(c, source + _MARKS, target), strip)
+    return F.lower(F.when(is_ascii, strip(c)).otherwise(plain))
 
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,7 +117,7 @@ def _slug_alphabet() -> tuple[str, str, dict[str, str]]:
 def slug(c: Column | str, prefix: str = "Busqueda") -> Column:
     """File-safe name: accents dropped, other characters to '_', prefixed unless it already is."""
     source, target, expansions = _slug_alphabet()
-    multi = F.create_map(*[F.lit(x) for pair in expansions.items() for x in pair])
+    multi = text_map(expansions)
     raw = text(c)
     expanded = F.when(
         raw.rlike("[" + "".join(expansions) + "]"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jurisindex.functions.constants import (
     ALL_SALAS, ALL_STORE_NAME, DEFAULT_SALA_KEY, MES_CHOICES, SALA_CHOICES, SALAS, STORE_NAME_PREFIX,
 )
+from jurisindex.functions.binding import text_map
 from jurisindex.functions.text import strip, text
 
 
@@ -33,8 +34,7 @@ def mes_choices(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(pairs: dict[str, str], key: Column, default: str) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    return F.coalesce(table[key], F.lit(default))
+    return F.coalesce(text_map(pairs)[key], F.lit(default))
 
 
 def resolve_sala(reference: Column | str) -> Column:
