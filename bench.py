@@ -128,7 +128,7 @@ def headline(spark: SparkSession, t: dict[str, DataFrame]) -> dict:
         ),
         "prepared_column": lambda: run_all(dec.select("arrival", P.folded_fields().alias("buscable"))),
         "fallback_chain": lambda: run_all(first_non_empty([dec.where("ano > 2050"), dec])),
-        "sync": lambda: run_all(upsert(None, sync_batch(extract(t["singles"]))[0].drop("ponente"))),
+        "sync": lambda: run_all(upsert(None, split_rejects(sync_batch(extract(t["singles"])))[0].drop("ponente"))),
         "stream_upsert": streamed,
     }
 

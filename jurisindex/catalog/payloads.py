@@ -11,10 +11,11 @@ from jurisindex.catalog.fixture import (
 from jurisindex.catalog.registry import query
 from jurisindex.functions.constants import TECH_KEYWORDS
 from jurisindex.operators.anchors import anchor_context
-from jurisindex.operators.fallback import first_non_empty, union_captures
+from jurisindex.operators.fallback import union_captures
 from jurisindex.operators.html_items import decode_links, html_decisions
 from jurisindex.operators.json_items import json_decisions, json_items
 from jurisindex.operators.pages import decision_sections, page_decisions
+from jurisindex.plans.sync import captured_decisions
 from jurisindex.plans.topic_scan import topic_scan
 from jurisindex.sources.captures import routed, usable_responses
 
@@ -200,19 +201,13 @@ def captures(spark, sf):
 @query("fallback_dom", PAGED + f"""
 SELECT {_CANONICAL} FROM ({_BY_ROW} WHERE ano % 2 = 0)
 UNION ALL SELECT resp_id * 16777216 + pos + 1 AS arrival, sala_key, sala, numero_sentencia,
-  replace(expediente, '-', '/') AS expediente, {_LINK_DATE} || ' de ' || {_LINK_YEAR} AS fecha, scan_ano AS ano,
-  'Sala:' || tema || fecha AS tema, 'Derecho' AS materia, 'Sala:' || tema || fecha AS asunto,
-  'Sala:' || tema || fecha AS extracto, '' AS ponente, link_directo
-FROM (SELECT *, ano AS scan_ano FROM paged WHERE ano % 2 = 1)""")
+  replace(expediente, '-', '/') AS expediente, {_LINK_DATE} || ' de ' || {_LINK_YEAR} AS fecha,
+  CAST({_LINK_YEAR} AS INT) AS ano, 'Sala:' || tema || fecha AS tema, 'Derecho' AS materia,
+  'Sala:' || tema || fecha AS asunto, 'Sala:' || tema || fecha AS extracto, '' AS ponente, link_directo
+FROM paged WHERE ano % 2 = 1""")
 def fallback_dom(spark, sf):
-    """Responses cover even years only; the rendered pages answer for the odd ones.
-
-    The address's year differs from the scanned one, so rows are matched by the year of the scan.
-    """
+    """The responses of odd years hold nothing; the rendered pages of all years answer for them."""
     dec = decisions(spark, sf)
-    years = grouped(dec).select("resp_id", F.col("ano").alias("scan_ano"))
-    rows = html_decisions(row_responses(dec.where(F.col("ano") % 2 == 0)), HOSTS, HOSTS).drop("patron")
-    blocks = anchor_context(anchor_responses(dec), HOSTS)
-    scanned = blocks.withColumn("resp_id", F.shiftright("arrival", 24)).join(years, "resp_id")
-    scanned = scanned.withColumn("ano", F.col("scan_ano")).select(*rows.columns)
-    return first_non_empty([rows, scanned], ("sala_key", "ano"))
+    empty = F.when(F.col("ano") % 2 == 0, F.col("body")).otherwise('{"coleccion": {}}')
+    responses = row_responses(dec).withColumn("body", empty)
+    return captured_decisions(responses, anchor_responses(dec), row_hosts=HOSTS, anchor_hosts=HOSTS)

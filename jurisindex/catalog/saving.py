@@ -139,7 +139,7 @@ def _sync_extract(batch):
 def sync_store(spark, sf):
     """A whole sync as one batch: usable responses, routing, extraction, defaults, upsert."""
     captured = _sync_extract(single_responses(decisions(spark, sf)))
-    accepted, _ = sync_batch(captured)
+    accepted, _ = split_rejects(sync_batch(captured))
     return upsert(None, accepted.drop("ponente")).select(*_COLUMNS.split(", "))
 
 
@@ -152,7 +152,7 @@ FROM matching GROUP BY link_directo""")
 def sync_filtered(spark, sf):
     """A sync for a month and a keyword stores the matches only."""
     captured = _sync_extract(single_responses(decisions(spark, sf)))
-    accepted, _ = sync_batch(captured, mes="marzo", palabra_clave="Digital")
+    accepted, _ = split_rejects(sync_batch(captured, mes="marzo", palabra_clave="Digital"))
     return upsert(None, accepted).select("link_directo", "tema", "fecha", "first_seen")
 
 

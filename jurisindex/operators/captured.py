@@ -28,14 +28,19 @@ def arrival_of(resp_id: Column | str, pos: Column | str) -> Column:
 
 
 def captured_rows(responses: DataFrame, found: Column) -> DataFrame:
-    """One canonical row per element of `found`, an array of `row_struct`."""
+    """One canonical row per element of `found`, an array of `row_struct`.
+
+    `patron` tells how it was found, `ano_escaneo` is the year of the scan; a row's own year may be
+    the one in its address.
+    """
     return (
-        responses.select("resp_id", "sala_key", F.explode(found).alias("d"))
+        responses.select("resp_id", "sala_key", F.col("ano").alias("ano_escaneo"), F.explode(found).alias("d"))
         .select(
             arrival_of("resp_id", F.col("d.pos")).alias("arrival"),
             "sala_key",
             sala_name("sala_key").alias("sala"),
             *[F.col("d")[f].alias(f) for f in FIELDS[1:]],
             F.col("d.patron").alias("patron"),
+            "ano_escaneo",
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def split_rejects(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written.where(is_valid()), written.where(~is_valid())
 
 
+def checked(written: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The same two, written to a folder of the shared file system and read back.
+
+    The rows are made once, however often both are used; the rejected ones stay there to be seen.
+    """
+    written.withColumn("aceptada", is_valid()).write.mode("overwrite").partitionBy("aceptada").parquet(folder)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in written.dtypes) + ", aceptada boolean"
+    read = written.sparkSession.read.schema(schema).parquet(folder)
+    return read.where("aceptada").drop("aceptada"), read.where("NOT aceptada").drop("aceptada")
+
+
 def save_counts(written: DataFrame) -> DataFrame:
     """One row: how many rows of a batch are accepted and how many rejected."""
     return written.agg(
@@ -123,6 +135,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
+def read_store_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved store, or None before the first save."""
+    try:
+        return read_store(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def touched_part(stored: DataFrame, reduced: DataFrame) -> DataFrame:
     """Stored rows of the buckets that a batch touches.
 

@@ -142,16 +142,17 @@ def test_anchor_context(spark):
     ]
 
 
-def test_rendered_pages_answer_where_responses_gave_nothing(spark):
+def test_rendered_pages_answer_where_responses_gave_nothing(spark, tmp_path):
     rows = [
         (1, "plena", 2023, "https://x/?p_p_lifecycle=2", 200, json.dumps([{"url": "de respuesta"}])),
         (2, "plena", 2024, "https://x/?p_p_lifecycle=2", 200, json.dumps({"nada": 1})),
     ]
-    pages = [(i, "plena", ano, "p", 200, f"<p>t <a href='{LINK}'>x</a></p>") for i, ano in ((5, 2023), (6, 2026))]
-    captured = captured_decisions(
-        spark.createDataFrame(rows, RESPONSE_SCHEMA), spark.createDataFrame(pages, RESPONSE_SCHEMA)
-    )
-    assert sorted((r.ano, r.link_directo) for r in captured.collect()) == [(2023, "de respuesta"), (2026, LINK), (2026, LINK)]
+    pages = [(i, "plena", ano, "p", 200, f"<p>t <a href='{LINK}'>x</a></p>") for i, ano in ((5, 2023), (6, 2024))]
+    responses, pages = (spark.createDataFrame(t, RESPONSE_SCHEMA) for t in (rows, pages))
+    for staging in (None, str(tmp_path / "staging")):
+        captured = captured_decisions(responses, pages, staging=staging)
+        # The scan of 2023 is answered; the year of the other row is that of its address.
+        assert sorted((r.ano, r.link_directo) for r in captured.collect()) == [(2023, "de respuesta"), (2026, LINK)]
 
 
 # --- decision pages ------------------------------------------------------------------------

@@ -153,13 +153,6 @@ def test_a_source_that_did_not_win_is_not_read(spark, tmp_path):
     assert final.count("FileScan") == 1
 
 
-def test_first_non_empty_per_key(spark):
-    first = spark.createDataFrame([("a", 1, "x")], "k string, y int, v string")
-    second = spark.createDataFrame([("a", 1, "p"), ("a", 2, "q"), ("b", 1, "r"), ("b", 1, "r")], "k string, y int, v string")
-    found = first_non_empty([first, second], ("k", "y")).collect()
-    assert sorted((r.k, r.y, r.v) for r in found) == [("a", 1, "x"), ("a", 2, "q"), ("b", 1, "r"), ("b", 1, "r")]
-
-
 # --- counts, links, exports ----------------------------------------------------------------
 
 

@@ -12,9 +12,9 @@ from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
 from jurisindex.operators.stats import stats_total
 from jurisindex.operators.upsert import (
-    KEY, VALUES, read_store, save_batch, save_counts, split_rejects, upsert, write_defaults,
+    KEY, VALUES, checked, read_store, save_batch, save_counts, split_rejects, upsert, write_defaults,
 )
-from jurisindex.plans.sync import captured_decisions, sync_batch
+from jurisindex.plans.sync import captured_decisions, sync, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.streaming.stream import sync_info, sync_stream
 
@@ -92,7 +92,7 @@ def test_defaults_of_absent_columns(spark):
     }
 
 
-def test_rejects(spark):
+def test_rejects(spark, tmp_path):
     data = [
         (1, "Sala Plena", "2024", "a"), (2, None, "2024", "b"), (3, "Sala Plena", "x", "c"), (4, "Sala Plena", " 7 ", "d"),
         (5, "Sala Plena", "2024.5", "e"), (6, "Sala Plena", None, "f"), (7, "Sala Plena", "2024", None), (8, "", "1", ""),
@@ -103,6 +103,8 @@ def test_rejects(spark):
     assert sorted(r.arrival for r in rejected.collect()) == [2, 3, 5, 6]
     assert {r.arrival: r[KEY] for r in accepted.collect()}[7] == SITE_ROOT
     assert save_counts(written).first().asDict() == {"aceptadas": 4, "rechazadas": 4}
+    for parts in ((accepted, rejected), checked(written, str(tmp_path / "checks"))):
+        assert [sorted(r.arrival for r in part.collect()) for part in parts] == [[1, 4, 7, 8], [2, 3, 5, 6]]
 
 
 def test_saved_store(spark, dec, whole, tmp_path):
@@ -144,18 +146,32 @@ def extract(batch):
 def test_sync_uses_stored_rows_if_nothing_was_captured(spark, dec):
     local = upsert(None, dec)
     nothing = extract(single_responses(decisions(spark, SF)).where("false"))
-    accepted, _ = sync_batch(nothing, local)
-    assert accepted.count() == local.count()
+    assert sync_batch(nothing, local).count() == local.count()
     captured = extract(single_responses(decisions(spark, SF).where("arrival < 5")))
-    accepted, _ = sync_batch(captured, local)
-    assert accepted.count() == 5
+    assert sync_batch(captured, local).count() == 5
+
+
+def test_whole_sync(spark, dec, tmp_path):
+    """Only matches are saved, a second sync adds to them, and the matrix has the whole store."""
+    store, matrix = str(tmp_path / "store"), str(tmp_path / "matrix")
+    captured = extract(single_responses(decisions(spark, SF)))
+    run = lambda mes, kw: sync(
+        captured, store, "2026-01-01 00:00:00", mes, kw, matrix, str(tmp_path / "checks"), buckets=2
+    )
+    march = captured.where("fecha LIKE '%Marzo%' AND lower(tema) LIKE '%firma%'").select(KEY).distinct().count()
+    assert 0 < march == run("marzo", "Firma").where("lower(tema) LIKE '%firma%'").count()
+    total = run("todo_el_ano", "").count()
+    assert total == captured.select(KEY).distinct().count() > march
+    written = spark.read.csv(matrix, header=True, escape='"', multiLine=True)
+    assert written.count() == total
+    nothing = captured.where("false")
+    assert sync(nothing, store, "2026-01-02 00:00:00", buckets=2).count() == total
 
 
 def test_stream_is_the_batch(spark, tmp_path):
     responses = single_responses(decisions(spark, SF))
     source, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
-    accepted, _ = sync_batch(extract(responses))
-    wanted = rows(upsert(None, accepted.drop("ponente")))
+    wanted = rows(upsert(None, sync_batch(extract(responses)).drop("ponente")))
     parts = list(range(4))
     random.Random(7).shuffle(parts)
     for part in parts:
@@ -164,7 +180,7 @@ def test_stream_is_the_batch(spark, tmp_path):
     def run():
         query = sync_stream(
             stream_responses(spark, source, files_per_trigger=1), store, progress, every=None, buckets=2,
-            scanned_at="2026-01-01 00:00:00", extract=extract, rejects=str(tmp_path / "rejects"),
+            scanned_at="2026-01-01 00:00:00", extract=extract, checks=str(tmp_path / "checks"),
         )
         query.awaitTermination()
         return query
