@@ -125,7 +125,8 @@ regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', chr(10), 'gs'),
   '<script.*?</script>|<style.*?</style>', chr(10), 'gsi'), '<[^>]*>', chr(10), 'g')"""
 _ENTITIES = [("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")]
 for _name, _char in _ENTITIES:
-    _SHOWN = f"replace({_SHOWN}, '{_name}', {_char})"
+    # Some pages are cut off inside a reference; these names also count without their ';'.
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_name}?', {_char}, 'g')"
 _PAGE_TEXT = f"""
 texts AS (SELECT page_id, url, list_aggregate(list_filter(list_transform(
   string_split_regex({_SHOWN}, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e]'), lambda x: trim(x, chr(9) || chr(32) || chr(160))),

@@ -8,7 +8,7 @@ not hold a bare '>'.  Work that needs an element's ancestors is in `operators.an
 from __future__ import annotations
 
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,14 +23,18 @@ TAG = r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z!?][^>]*(?:>|\z)"""
 MARKUP = HIDDEN + "|" + TAG
 ANCHOR = (r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>"""
           r"""(.*?)(?=</a\b|<a\s|\z)""")
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
+# As HTML 5 reads them: numbers and the older names also count without their ';'.
+OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
+ENTITY = (r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31}(?=;)|"
+          + "|".join(OLD_NAMES) + ")(;?)")
 _CUT = "\u0001"
 ALL = 2**30  # longer than any array; `slice` adds it to the start
 
 
 @lru_cache(maxsize=1)
 def _named_entities() -> dict[str, str]:
-    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    return names | {name: html5[name] for name in OLD_NAMES}
 
 
 def _decode_piece(piece: Column) -> Column:

@@ -93,6 +93,7 @@ def test_entities(spark):
         "a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;&#XE9;": "éééé", "R&D & x": "R&D & x", "&nadie;": "&nadie;",
         "&nbsp;": " ", "&copy 2024": "© 2024", "&#0;&#55296;": "��", "&#128512;": "😀", "": "", "&": "&",
         "&apos;&quot;": "'\"",
+        "&copyright": "©right", "&alpha x": "&alpha x", "&AMP;&amp": "&&", "&am": "&am",
     }
     assert run(spark, list(cases), M.decode_entities("v")) == list(cases.values())
 
