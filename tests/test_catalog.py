@@ -22,4 +22,5 @@ def test_query(spark, connection, name):
 
 
 def test_entry(spark):
-    assert len(entry.entry(spark).columns) == 9
+    found = entry.entry(spark)
+    assert len(found.columns) == 9 and found.count() > 0
