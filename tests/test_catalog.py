@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from jurisindex.catalog import QUERIES
 from tests.oracle import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def connection():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
     df = entry.queries()[name](spark, SF)
     assert compare(df, entry.oracle_sql()[name], connection) is None
