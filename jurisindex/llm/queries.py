@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurisindex.catalog.registry import Query
+from jurisindex.llm.mixing import mixed_report
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharded_documents(table(spark, sf, "documents"), 40).drop("source")
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed_report(table(spark, sf, "documents"))
