@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
+from jurisindex.llm import rules
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its name; without an oracle its tests hold it against brute force."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return register
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query
+@query()
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharded_documents(table(spark, sf, "documents"), 40).drop("source")
 
 
-@query
+@query()
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed_report(table(spark, sf, "documents"))
+
+
+@query(rules.ORACLE)
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.rule_report(table(spark, sf, "documents"))
