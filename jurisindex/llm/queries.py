@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import rules
+from jurisindex.llm import rules, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,8 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query(rules.ORACLE)
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rule_report(table(spark, sf, "documents"))
+
+
+@query(urls.ORACLE)
+def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.url_report(table(spark, sf, "pages"))
