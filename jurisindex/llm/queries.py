@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import rules, urls
+from jurisindex.llm import lines, rules, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,8 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query(urls.ORACLE)
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.url_report(table(spark, sf, "pages"))
+
+
+@query(lines.ORACLE)
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.line_report(table(spark, sf, "documents"))
