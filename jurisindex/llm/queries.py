@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import lines, rules, urls
+from jurisindex.llm import lines, rules, tokens, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -54,3 +55,8 @@ def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query(lines.ORACLE)
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_report(table(spark, sf, "documents"))
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_report(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
