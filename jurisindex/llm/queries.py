@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import lines, rules, tokens, urls
+from jurisindex.llm import lines, rules, simhash, tokens, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,8 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_report(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf, "documents"))
