@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import lines, rules, simhash, tokens, urls
+from jurisindex.llm import lines, rules, simhash, substring, tokens, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,8 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf, "documents"))
+
+
+@query(substring.ORACLE)
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.substring_report(table(spark, sf, "documents"))
