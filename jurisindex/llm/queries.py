@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jurisindex.catalog.registry import Query
 from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import containment, lines, rules, simhash, substring, tokens, urls
+from jurisindex.llm import containment, lines, ordinal, rules, simhash, substring, tokens, urls
 from jurisindex.llm.sharding import sharded_documents
 
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,8 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query(containment.ORACLE)
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return containment.containment_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return ordinal.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
