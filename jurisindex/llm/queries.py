@@ -7,10 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from jurisindex.catalog.registry import Query
-from jurisindex.llm.mixing import mixed_report
-from jurisindex.llm import containment, lines, ordinal, rules, simhash, substring, tokens, urls
-from jurisindex.llm.sharding import sharded_documents
+from jurisindex.llm import containment, lines, mixing, ordinal, rules, sharding, simhash, substring, tokens, urls
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -34,12 +33,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query()
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    return sharded_documents(table(spark, sf, "documents"), 40).drop("source")
+    return sharding.sharded_documents(table(spark, sf, "documents"), 40).drop("source")
 
 
 @query()
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixed_report(table(spark, sf, "documents"))
+    return mixing.mixed_report(table(spark, sf, "documents"))
 
 
 @query(rules.ORACLE)
@@ -80,3 +79,8 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return ordinal.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
