@@ -4,9 +4,9 @@ A source whose target is r times its size takes each of its documents r times on
 certain, once more with the fractional probability.  Rounding moves probability, measured in words, between a
 document and the pool of the smaller ones of its group until the document is in or out; what moves and where
 to is drawn so that every probability is kept on average, and the words of the group stay what they were.
-One document of a group stays fractional at most, nearly always its smallest.  Those residuals form the
+One document of a group stays fractional at most: one that the smaller ones together cannot settle.  Those residuals form the
 groups of the next level, up to one group for each source: a reduction tree as deep as the logarithm of the
-largest source.  Its last residual is drawn, so a source misses its target by part of one (small) document.
+largest source.  Its last residual is drawn, so a source misses its target by part of one document.
 """
 
 from __future__ import annotations

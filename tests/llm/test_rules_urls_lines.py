@@ -1,0 +1,124 @@
+"""Quality rules, URL filters and line dedup on small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from jurisindex.llm.lines import RUN, line_report, without_later_runs
+from jurisindex.llm.rules import RULES, Rule, judged, rule_report
+from jurisindex.llm.urls import filtered_urls, url_report
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def repeat_words(words):
+    at = defaultdict(list)
+    for i in range(len(words) - 2):
+        at[tuple(words[i:i + 3])].append(i)
+    return len({p for places in at.values() if len(places) > 1 for i in places for p in (i, i + 1, i + 2)})
+
+
+TEXTS = [
+    None, "", " \n\t ", "a", "a a a", "a a a a", "a b c a b c a b", "x\ny\nx\n \nx", "é " * 60 + "the of and to",
+    "the cat sat on the mat and " * 20, "stop!! it!! " * 40, "one # two * | three", "a b c " + "d " * 5000, "\x0bword\x0c",
+]
+
+
+def test_base_measures(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, "a a a a"), (None, "a a a a")], "doc_id long, text string")
+    for r in rule_report(docs).collect():
+        text = TEXTS[5] if r.doc_id is None else TEXTS[r.doc_id] or ""
+        words = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat_words(words)), text[:30]
+        assert r.base_failed == (len(words) < 50 or 100 * repeat_words(words) > 50 * len(words))
+        assert not (r.kept and r.base_failed) and r.kept == (r.failed == "" and not r.base_failed)
+    assert rule_report(docs.limit(0)).count() == 0
+
+
+def test_rules_are_a_table_and_one_projection(spark):
+    docs = spark.createDataFrame([(1, "w " * 60, 5)], "doc_id long, text string, failed int")
+    got = judged(docs, (*RULES, Rule("few", "n_words", high=10))).first()
+    assert got.failed == ["word_length", "stop_words", "repeats", "few"] and got.measures.n_words == 60
+    plan = judged(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def fits(rule, host, path):
+    h, p, _ = rule
+    return (host == h or host.endswith("." + h)) and path.startswith(p)
+
+
+HOSTS = ["org", "example.org", "a.example.org", "b.a.example.org", "notexample.org", "com", "x.com", ""]
+PATHS = ["", "/", "/e", "/es", "/es/", "/es/1", "/en/1", "/en/12", "/en"]
+RULE = st.tuples(st.sampled_from(HOSTS[:-1]), st.sampled_from(PATHS), st.sampled_from(["allow", "block"]))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(RULE, max_size=12))
+def test_longest_rule_wins(spark, rules):
+    pages = [(n, f"http://{h}{p}?q#f") for n, (h, p) in enumerate((h, p) for h in HOSTS for p in PATHS)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for r in filtered_urls(df, table, salts=3).collect():
+        best = max(((len(h + p), len(h), h + p, v) for h, p, v in rules if fits((h, p, v), r.host, r.path)), default=None)
+        assert (r.rule, r.verdict) == (best[2:] if best else (None, "allow")), (r, rules)
+
+
+def test_odd_urls(spark):
+    rows = [(1, None), (2, ""), (3, "example.org/es/1"), (4, "HTTP://EXAMPLE.org/es/X"), (5, "x://a://b/c"), (6, "http://example.org/es/1"),
+            (6, "http://example.org/es/1"), (None, "https://w.example.org/en/19?x"), (8, "http://" + "a." * 3000 + "org/q"), (9, "http://d.com/de/#x"),
+            (10, "http://h\n.com/fr/é")]
+    got = sorted((tuple(r) for r in url_report(spark.createDataFrame(rows, "page_id long, url string")).collect()), key=str)
+    wanted = [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "example.org", "/es/X", "example.org/es/", "block"),
+              (5, "a:", "//b/c", None, "allow"), (6, "example.org", "/es/1", "example.org/es/", "block"), (6, "example.org", "/es/1", "example.org/es/", "block"),
+              (None, "w.example.org", "/en/19", "example.org/en/1", "allow"), (8, "a." * 3000 + "org", "/q", "org/", "allow"),
+              (9, "d.com", "/de/", "com/de/", "block"), (10, "h\n.com", "/fr/é", "com/fr/", "allow")]
+    assert got == sorted(wanted, key=str)
+    clash = spark.createDataFrame([("http://a.org/", "mine")], "url string, host string")
+    assert filtered_urls(clash, spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")).first().host == "a.org"
+    assert url_report(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def brute_lines(docs, run):
+    """Removed raw line numbers of each document, by its number."""
+    lines = [(t or "").split("\n") for _, t in docs]
+    worded = [[i for i, x in enumerate(ls) if WORD.search(x)] for ls in lines]
+    order = sorted(range(len(docs)), key=lambda d: (docs[d][0] is None, docs[d][0] or 0))
+    seen, gone = {}, [set() for _ in docs]
+    for d in order:
+        for k in range(len(worded[d]) - run + 1):
+            window = tuple(lines[d][i] for i in worded[d][k:k + run])
+            if seen.setdefault(window, (d, k)) != (d, k):
+                gone[d].update(worded[d][k:k + run])
+    return [(len(w), len(g), "\n".join(x for i, x in enumerate(ls) if i not in g)) for w, g, ls in zip(worded, gone, lines)]
+
+
+def test_line_runs_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(n, "\n".join(rng.choice("aabbcdef ") for _ in range(rng.randrange(0, 14)))) for n in range(60)]
+    docs += [(100, None), (101, ""), (102, "\n\n"), (103, "long " * 9000 + "\nb\nc\n\nd"), (104, "x\nlong\nb\n \nc\nd"), (None, "a\na\na\na\na")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in without_later_runs(df).collect()}
+    digests = {r.doc_id: r.kept_sha256 for r in line_report(df).collect()}
+    for (i, t), (n, removed, kept) in zip(docs, brute_lines(docs, RUN)):
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept_text) == (n, removed, None if t is None else kept), (i, t)
+        assert digests[i] == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_lines_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a\nb\nc", "x"), (1, "a\nb\nc", "y"), (2, "a\nb\nc\nd", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_text string")
+    got = without_later_runs(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "kept_text"]
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got.collect()) == [(1, 0, "a\nb\nc"), (1, 0, "a\nb\nc"), (2, 3, "d")]
+    assert without_later_runs(df.limit(0)).count() == 0
+    assert line_report(df.withColumn("text", F.lit(None).cast("string"))).where("n_removed = 0").count() == 3
