@@ -25,7 +25,8 @@ from jurisindex.operators.fallback import first_non_empty
 from jurisindex.operators.html_items import html_decisions
 from jurisindex.operators.json_items import json_decisions
 from jurisindex.operators.pages import decision_sections, page_decisions, page_links
-from jurisindex.operators.upsert import read_store, save_batch, upsert, write_defaults, split_rejects
+from jurisindex.operators.saved_store import read_store, save_batch
+from jurisindex.operators.upsert import upsert, write_defaults, split_rejects
 from jurisindex.plans.sync import captured_decisions, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.sources.storage import new_folder

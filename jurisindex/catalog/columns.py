@@ -212,9 +212,9 @@ def search4(spark, sf):
 
 
 @query("search6", STORE + f"""
-SELECT {_SEARCHED} FROM store WHERE {_any(P.FIELDS6, "contains(lower({c}), 'derecho fr')")}""")
+SELECT {_SEARCHED} FROM store WHERE {_any(P.FIELDS6, "contains(lower({c}), 'derecho nation_7')")}""")
 def search6(spark, sf):
-    return search.search6(store(spark, sf), "Derecho FR").select(*_SEARCHED.split(", "))
+    return search.search6(store(spark, sf), "Derecho NATION_7").select(*_SEARCHED.split(", "))
 
 
 @query("search6_folded", STORE + f"""
@@ -293,7 +293,7 @@ def flagship(spark, sf):
 
 @query("refine", STORE + f"""
 SELECT {_SEARCHED} FROM store WHERE {_any(P.FIELDS6, "contains(lower({c}), 'digital')")}
-AND {_any(P.FIELDS6, "contains(lower({c}), 'germany')")}""")
+AND {_any(P.FIELDS6, "contains(lower({c}), 'nation_7')")}""")
 def refine(spark, sf):
     first = search.faceted_search(store(spark, sf), q="digital")
-    return search.refine(first, " GERMANY ").select(*_SEARCHED.split(", "))
+    return search.refine(first, " NATION_7 ").select(*_SEARCHED.split(", "))

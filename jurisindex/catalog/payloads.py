@@ -21,7 +21,7 @@ from jurisindex.sources.captures import routed, usable_responses
 
 _CANONICAL = ("arrival, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema, materia, asunto, extracto, "
               "ponente, link_directo")
-_ARRIVAL = "resp_id * 16777216 + pos AS arrival"
+_ARRIVAL = "resp_id * 4294967296 + 2 * pos AS arrival"
 _LINK_DATE = "upper(substr(split_part(link_directo, '/', 6), 1, 1)) || substr(split_part(link_directo, '/', 6), 2)"
 _LINK_YEAR = "split_part(split_part(link_directo, '/', 7), '-', 4)"
 _CLEAN = r"trim(regexp_replace({c}, '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+', ' ', 'g'))"
@@ -29,16 +29,16 @@ _CLEAN = r"trim(regexp_replace({c}, '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+', ' ', 'g
 
 @query("responses_usable", DEC + """
 SELECT arrival AS resp_id, sala_key, ano FROM dec
-WHERE tema NOT IN ('Amparo', 'Nulidad', 'Casación') AND NOT contains(materia, 'FRANCE')""")
+WHERE tema NOT IN ('Amparo', 'Nulidad', 'Casación') AND NOT contains(materia, 'NATION_7')""")
 def responses_usable(spark, sf):
     """Amparo came from another service, Nulidad and Casación are empty, and one subject area failed."""
     raw = decisions(spark, sf).select(
         F.col("arrival").alias("resp_id"), "sala_key", "ano",
         F.when(F.col("tema") == "Amparo", "https://portal.example.org/inicio")
         .otherwise(F.concat(F.lit(PORTAL_URL), "sala_key")).alias("url"),
-        F.when(F.col("materia").contains("FRANCE"), 500).otherwise(200).alias("status"),
+        F.when(F.col("materia").contains("NATION_7"), 500).otherwise(200).alias("status"),
         F.when(F.col("tema") == "Nulidad", " {} ").when(F.col("tema") == "Casación", " \n")
-        .otherwise(F.col("asunto")).alias("body"),
+        .otherwise(F.col("extracto")).alias("body"),
     )
     return usable_responses(raw).select("resp_id", "sala_key", "ano")
 
@@ -98,7 +98,7 @@ def url_decode(spark, sf):
 
 
 @query("anchor_context", PAGED + f"""
-SELECT resp_id * 16777216 + pos + 1 AS arrival, sala_key, sala, numero_sentencia,
+SELECT resp_id * 4294967296 + 2 * (pos + 1) + 1 AS arrival, sala_key, sala, numero_sentencia,
   replace(expediente, '-', '/') AS expediente, {_LINK_DATE} || ' de ' || {_LINK_YEAR} AS fecha,
   CAST({_LINK_YEAR} AS INT) AS ano, 'Sala:' || tema || fecha AS tema, 'Derecho' AS materia,
   'Sala:' || tema || fecha AS asunto, 'Sala:' || tema || fecha AS extracto, '' AS ponente, link_directo
@@ -200,7 +200,7 @@ def captures(spark, sf):
 
 @query("fallback_dom", PAGED + f"""
 SELECT {_CANONICAL} FROM ({_BY_ROW} WHERE ano % 2 = 0)
-UNION ALL SELECT resp_id * 16777216 + pos + 1 AS arrival, sala_key, sala, numero_sentencia,
+UNION ALL SELECT resp_id * 4294967296 + 2 * (pos + 1) + 1 AS arrival, sala_key, sala, numero_sentencia,
   replace(expediente, '-', '/') AS expediente, {_LINK_DATE} || ' de ' || {_LINK_YEAR} AS fecha,
   CAST({_LINK_YEAR} AS INT) AS ano, 'Sala:' || tema || fecha AS tema, 'Derecho' AS materia,
   'Sala:' || tema || fecha AS asunto, 'Sala:' || tema || fecha AS extracto, '' AS ponente, link_directo

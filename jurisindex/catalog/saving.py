@@ -11,7 +11,8 @@ from jurisindex.functions.constants import MATRIX_HEADERS, TECH_KEYWORDS
 from jurisindex.operators.export import export_matrix, write_csv, write_json, write_matrix
 from jurisindex.operators.search import tech_filter
 from jurisindex.operators.stats import stats_all
-from jurisindex.operators.upsert import read_store, save_counts, split_rejects, upsert, write_defaults
+from jurisindex.operators.saved_store import compact, read_store, save_batch
+from jurisindex.operators.upsert import save_counts, split_rejects, upsert, write_defaults
 from jurisindex.plans.sync import captured_decisions, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.sources.storage import new_folder
@@ -76,6 +77,27 @@ def upsert_linkless(spark, sf):
     )
 
 
+@query("saved_store", DEC + f"""
+, stamped AS (SELECT * REPLACE (arrival + CASE WHEN tema = 'Nulidad' THEN 1000000000 ELSE 0 END AS arrival) FROM dec
+  WHERE NOT (tema = 'Competencia' AND sala_key = 'plena'))
+SELECT link_directo, sala_key, {", ".join(f"arg_max({c}, arrival) AS {c}" for c in (
+    "sala", "numero_sentencia", "expediente", "fecha", "ano", "tema", "materia", "asunto", "extracto"))},
+  min(arrival) AS first_seen, max(arrival) AS last_seen FROM stamped GROUP BY link_directo, sala_key""")
+def saved_store(spark, sf):
+    """Three saves in another order than the rows arrived, one again, rows without a chamber, a compaction and a save."""
+    path = new_folder(spark, "saved-store")
+    late = F.when(F.col("tema") == "Nulidad", F.col("arrival") + 1_000_000_000).otherwise(F.col("arrival"))
+    chamber = F.when((F.col("tema") != "Competencia") | (F.col("sala_key") != "plena"), F.col("sala_key"))
+    dec = decisions(spark, sf).withColumns({"arrival": late, "sala_key": chamber})
+    accepted, _ = split_rejects(write_defaults(dec))
+    parts = [accepted.where(F.pmod(F.hash("arrival"), F.lit(3)) == k) for k in (2, 0, 1)]
+    for part in (parts[0], parts[1], parts[0]):
+        save_batch(part, path, "2026-01-01 00:00:00")
+    compact(spark, path)
+    save_batch(parts[2], path, "2026-01-02 00:00:00")
+    return read_store(spark, path).select(*_COLUMNS.split(", "))
+
+
 # --- exports -------------------------------------------------------------------------------
 
 _PLAIN = "arrival, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema, materia, asunto, extracto, ponente"
@@ -122,7 +144,7 @@ def tech_report(spark, sf):
 
 # Responses of one decision each: arrivals are shifted by the position, table rows tell less.
 _SYNCED = STORE.replace("dec AS (", "given AS (", 1).replace(", store AS (", r""",
-dec AS (SELECT arrival * 16777216 AS arrival, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema,
+dec AS (SELECT arrival * 4294967296 AS arrival, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema,
   CASE WHEN sala_key = 'electoral' THEN 'Derecho' ELSE materia END AS materia,
   CASE WHEN sala_key = 'electoral' THEN 'ver' ELSE
     trim(regexp_replace(asunto, '[\t-\r\x1c-\x20\x{85}\x{a0}]+', ' ', 'g')) END AS asunto,

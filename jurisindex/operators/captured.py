@@ -10,8 +10,9 @@ from jurisindex.sources.dimensions import sala_name
 FIELDS = ["sala", "numero_sentencia", "expediente", "fecha", "ano", "tema", "materia", "asunto",
           "extracto", "ponente", "link_directo"]
 
-# A response holds fewer than 2^24 items and there are fewer than 2^39 responses.
-_POSITION_BITS = 24
+# Wide enough for every response number with every position in an array, and the kind of source.
+ARRIVAL_TYPE = "decimal(38,0)"
+_PLACES = 2**32
 
 
 def row_struct(pos: Column, patron: Column, **fields: Column) -> Column:
@@ -21,10 +22,12 @@ def row_struct(pos: Column, patron: Column, **fields: Column) -> Column:
     )
 
 
-def arrival_of(resp_id: Column | str, pos: Column | str) -> Column:
-    """One ascending number for (response, position)."""
+def arrival_of(resp_id: Column | str, pos: Column | str, rendered: bool = False) -> Column:
+    """One ascending number for (response, position); what a rendered page shows comes after its response."""
+    resp_id = F.col(resp_id) if isinstance(resp_id, str) else resp_id
     pos = F.col(pos) if isinstance(pos, str) else pos
-    return F.shiftleft(resp_id, _POSITION_BITS) + pos.cast("bigint")
+    place = resp_id.cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(11,0)") + (2 * pos.cast("bigint") + int(rendered))
+    return place.cast(ARRIVAL_TYPE)
 
 
 def captured_rows(responses: DataFrame, found: Column) -> DataFrame:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.functions.constants import (
     NO_DATE, NO_DOCKET, NO_NUMBER, SITE_ROOT, STORE_SALA, STORE_SUBJECT_AREA, STORE_TOPIC, STORE_YEAR,
 )
-from jurisindex.functions.predicates import FOLDED_COLUMN, folded_fields
 
 KEY = "link_directo"
 VALUES = ["sala_key", "sala", "numero_sentencia", "expediente", "fecha", "ano", "tema", "materia",
           "asunto", "extracto"]
 # `first_seen` orders rows as they were first inserted, `last_seen` is the arrival of the row's
 # current values: with both, batches can be merged in any order and any number of times.
-STORE_SCHEMA = (
-    "sala_key string, sala string, numero_sentencia string, expediente string, fecha string, ano int, "
-    "tema string, materia string, asunto string, extracto string, link_directo string, "
-    "first_seen bigint, last_seen bigint, fecha_escaneo timestamp, buscable string, bucket int"
-)
 
 
 def _first_of(df: DataFrame, names: list[str], default: Column) -> Column:
@@ -53,14 +46,17 @@ def write_defaults(df: DataFrame, site_root: str = SITE_ROOT, on_missing_link: s
     return df.select(*kept, *[c.alias(n) for n, c in written.items()])
 
 
-def is_valid() -> Column:
-    """A written row that the store accepts."""
-    return F.col("sala").isNotNull() & F.col("ano").isNotNull() & F.col(KEY).isNotNull()
+def is_valid(written: DataFrame) -> Column:
+    """A written row that the store accepts; of rows with chamber keys, one that has its key."""
+    valid = F.col("sala").isNotNull() & F.col("ano").isNotNull() & F.col(KEY).isNotNull()
+    if "sala_key" in written.columns:
+        valid = valid & F.coalesce(F.col("sala_key") != "", F.lit(False))
+    return valid
 
 
 def split_rejects(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected rows) of written rows."""
-    return written.where(is_valid()), written.where(~is_valid())
+    return written.where(is_valid(written)), written.where(~is_valid(written))
 
 
 def checked(written: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +64,7 @@ def checked(written: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
     The rows are made once, however often both are used; the rejected ones stay there to be seen.
     """
-    written.withColumn("aceptada", is_valid()).write.mode("overwrite").partitionBy("aceptada").parquet(folder)
+    written.withColumn("aceptada", is_valid(written)).write.mode("overwrite").partitionBy("aceptada").parquet(folder)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in written.dtypes) + ", aceptada boolean"
     read = written.sparkSession.read.schema(schema).parquet(folder)
     return read.where("aceptada").drop("aceptada"), read.where("NOT aceptada").drop("aceptada")
@@ -77,7 +73,7 @@ def checked(written: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 def save_counts(written: DataFrame) -> DataFrame:
     """One row: how many rows of a batch are accepted and how many rejected."""
     return written.agg(
-        F.count_if(is_valid()).alias("aceptadas"), F.count_if(~is_valid()).alias("rechazadas")
+        F.count_if(is_valid(written)).alias("aceptadas"), F.count_if(~is_valid(written)).alias("rechazadas")
     )
 
 
@@ -113,75 +109,3 @@ def upsert(store: DataFrame | None, batch: DataFrame, keys: tuple[str, ...] = (K
     if store is not None:
         versions = _versions(store).unionByName(versions, allowMissingColumns=True)
     return merge_versions(versions, keys)
-
-
-# --- the saved store -----------------------------------------------------------------------
-#
-# Parquet partitioned by chamber and by a hash bucket of the link.  A batch rewrites only the
-# buckets it touches; buckets split a large chamber over many tasks and files.
-
-PARTITIONS = ["sala_key", "bucket"]
-# Good for some 100 GB.  A bucket of the largest chamber is merged by one task, so take enough
-# buckets to keep it at a few GB; the number is fixed when the store is created.
-DEFAULT_BUCKETS = 16
-
-
-def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The saved store; filters on chamber and year reach its directories and files."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
-
-
-def read_store_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    """The saved store, or None before the first save."""
-    try:
-        return read_store(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def touched_part(stored: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Stored rows of the buckets that a batch touches.
-
-    The broadcast list has at most (chambers x buckets) rows, whatever the size of the batch.  The
-    comparison with 0 holds for every bucket; it marks the list as selective, without which Spark
-    would not use it to prune the directories of the scan.
-    """
-    touched = reduced.where(F.col("bucket") >= 0).select(*PARTITIONS).distinct()
-    return stored.join(F.broadcast(touched), PARTITIONS, "left_semi")
-
-
-def save_batch(
-    batch: DataFrame, path: str, scanned_at: str, buckets: int = DEFAULT_BUCKETS
-) -> None:
-    """Merge accepted rows into the saved store, one row per chamber and link.
-
-    The batch is first reduced to one row per link and written next to the store, in a directory
-    that readers skip: it is read twice from there, and a lost executor does not make Spark extract
-    it again.  Then only the touched buckets are read, merged and replaced.  The one shuffle of
-    stored rows is by bucket, which serves both the merge and the write.  Doing it again changes
-    nothing, so a job that is repeated after a failure is harmless.  One writer at a time.
-    """
-    spark = batch.sparkSession
-    stamped = batch.select(
-        *VALUES, KEY, "arrival", F.lit(scanned_at).cast("timestamp").alias("fecha_escaneo")
-    )
-    reduced = upsert(None, stamped, ("sala_key", KEY)).withColumns(
-        {FOLDED_COLUMN: folded_fields(), "bucket": bucket_of(buckets)}
-    )
-    staging = f"{path}/_staging"
-    reduced.write.mode("overwrite").parquet(staging)
-    reduced = spark.read.schema(STORE_SCHEMA).parquet(staging)
-    versions = touched_part(read_store(spark, path), reduced).unionByName(reduced)
-    merged = merge_versions(versions.repartition(*PARTITIONS), (*PARTITIONS, KEY))
-    (
-        merged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )

@@ -19,7 +19,9 @@ def connection():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
     df = entry.queries()[name](spark, SF)
-    assert compare(df, entry.oracle_sql()[name], connection) is None
+    sql = entry.oracle_sql()[name]
+    assert compare(df, sql, connection) is None
+    assert connection.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 0, "no row can tell anything"
 
 
 def test_entry(spark):

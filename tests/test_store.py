@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
 from jurisindex.operators.stats import stats_total
-from jurisindex.operators.upsert import (
-    KEY, VALUES, checked, read_store, save_batch, save_counts, split_rejects, upsert, write_defaults,
+from jurisindex.operators.saved_store import (
+    committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, save_batch,
 )
+from jurisindex.operators.upsert import KEY, VALUES, checked, save_counts, split_rejects, upsert, write_defaults
 from jurisindex.plans.sync import captured_decisions, sync, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.streaming.stream import sync_info, sync_stream
@@ -111,29 +112,79 @@ def test_saved_store(spark, dec, whole, tmp_path):
     path = str(tmp_path / "store")
     parts = [dec.where(f"pmod(hash(arrival), 3) = {i}") for i in (2, 0, 1)]
     for part in parts:
-        save_batch(part, path, "2026-01-01 00:00:00", buckets=4)
+        save_batch(part, path, "2026-01-01 00:00:00")
     assert rows(read_store(spark, path)) == whole
-    save_batch(parts[1], path, "2026-01-02 00:00:00", buckets=4)
+    save_batch(parts[1], path, "2026-01-02 00:00:00")
     assert rows(read_store(spark, path)) == whole
 
 
 def test_saved_store_prunes(spark, dec, tmp_path):
     path = str(tmp_path / "store")
-    save_batch(dec, path, "2026-01-01 00:00:00", buckets=2)
+    save_batch(dec, path, "2026-01-01 00:00:00")
     found = read_store(spark, path).where("sala_key = 'plena' AND ano = 1996").select("tema")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "sala_key" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert "EqualTo(ano,1996)" in plan and "extracto" not in plan
 
 
-def test_a_batch_leaves_other_buckets_alone(spark, dec, tmp_path):
+def test_a_batch_rewrites_nothing(spark, dec, tmp_path):
     path = tmp_path / "store"
-    save_batch(dec, str(path), "2026-01-01 00:00:00", buckets=2)
-    before = {p: p.stat().st_mtime_ns for p in path.rglob("part-*") if "_staging" not in str(p)}
-    save_batch(dec.where("sala_key = 'plena'"), str(path), "2026-01-02 00:00:00", buckets=2)
-    after = {p: p.stat().st_mtime_ns for p in path.rglob("part-*") if "_staging" not in str(p)}
-    changed = {p for p in before if after.get(p) != before[p]}
-    assert changed and all("sala_key=plena" in str(p) for p in changed)
+    save_batch(dec, str(path), "2026-01-01 00:00:00")
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*") if p.is_file()}
+    save_batch(dec.limit(500), str(path), "2026-01-02 00:00:00")
+    assert before == {p: p.stat().st_mtime_ns for p in before} and len(before) < len([p for p in path.rglob("*") if p.is_file()])
+
+
+def test_compaction_changes_no_row(spark, dec, whole, tmp_path):
+    path = str(tmp_path / "store")
+    assert read_store_if_any(spark, path) is None
+    compact(spark, path)
+    for part in (0, 1):
+        save_batch(dec.where(f"arrival % 2 = {part}"), path, "2026-01-01 00:00:00")
+    during = read_store(spark, path)
+    compact(spark, path, files_per_chamber=3)
+    names, covered = committed(spark, path)
+    assert (len(names), len(covered)) == (1, 2) and rows(during) == rows(read_store(spark, path)) == whole
+    save_batch(dec.where("arrival % 2 = 0"), path, "2026-01-02 00:00:00")
+    drop_covered(spark, path)
+    assert rows(read_store(spark, path)) == whole
+
+
+def test_a_batch_without_commit_is_not_seen(spark, dec, whole, tmp_path):
+    path = str(tmp_path / "store")
+    save_batch(dec, path, "2026-01-01 00:00:00")
+    dec.limit(5).withColumn("sala_key", F.lit("plena")).write.partitionBy("sala_key").parquet(f"{path}/data/lote=broken")
+    assert rows(read_store(spark, path)) == whole
+
+
+def test_rows_without_a_chamber_are_rejected(spark, dec, tmp_path):
+    path = str(tmp_path / "store")
+    flawed = dec.withColumn("sala_key", F.when(F.col("arrival") % 3 == 0, None).when(F.col("arrival") % 3 == 1, "").otherwise("plena"))
+    accepted, rejected = split_rejects(write_defaults(flawed))
+    assert rejected.count() == dec.where("arrival % 3 <> 2").count()
+    for _ in range(2):
+        save_batch(accepted, path, "2026-01-01 00:00:00")
+        assert read_store(spark, path).count() == accepted.select(KEY).distinct().count()
+
+
+def test_one_link_under_two_chambers(spark, dec, tmp_path):
+    path = str(tmp_path / "store")
+    row = dec.limit(1)
+    save_batch(row.withColumn("sala_key", F.lit("plena")), path, "2026-01-01 00:00:00")
+    save_batch(row.withColumns({"sala_key": F.lit("penal"), "arrival": F.col("arrival") + 1}), path, "2026-01-01 00:00:00")
+    assert read_store(spark, path).count() == 2
+    assert merged_by_link(read_store(spark, path)).first().sala_key == "penal"
+
+
+def test_arrivals_of_large_response_numbers(spark):
+    """Numbers as those of a hundred partitions, and the last place of an array."""
+    from jurisindex.operators.captured import arrival_of
+    numbers = [(i << 33) + k for i in (0, 1, 64, 100, 2**29) for k in (0, 1, 2**33 - 1)]
+    df = spark.createDataFrame([(n, p) for n in numbers for p in (0, 1, 2**31 - 1)], "resp_id bigint, pos int")
+    for rendered in (False, True):
+        both = df.withColumn("a", arrival_of("resp_id", "pos", rendered)).collect()
+        assert len({r.a for r in both}) == len(both) and sorted(both, key=lambda r: r.a) == sorted(both, key=lambda r: (r.resp_id, r.pos))
+    assert df.where(arrival_of("resp_id", "pos") == arrival_of("resp_id", "pos", True)).count() == 0
 
 
 # --- sync and streams ----------------------------------------------------------------------
@@ -156,7 +207,7 @@ def test_whole_sync(spark, dec, tmp_path):
     store, matrix = str(tmp_path / "store"), str(tmp_path / "matrix")
     captured = extract(single_responses(decisions(spark, SF)))
     run = lambda mes, kw: sync(
-        captured, store, "2026-01-01 00:00:00", mes, kw, matrix, str(tmp_path / "checks"), buckets=2
+        captured, store, "2026-01-01 00:00:00", mes, kw, matrix, str(tmp_path / "checks")
     )
     march = captured.where("fecha LIKE '%Marzo%' AND lower(tema) LIKE '%firma%'").select(KEY).distinct().count()
     assert 0 < march == run("marzo", "Firma").where("lower(tema) LIKE '%firma%'").count()
@@ -165,7 +216,7 @@ def test_whole_sync(spark, dec, tmp_path):
     written = spark.read.csv(matrix, header=True, escape='"', multiLine=True)
     assert written.count() == total
     nothing = captured.where("false")
-    assert sync(nothing, store, "2026-01-02 00:00:00", buckets=2).count() == total
+    assert sync(nothing, store, "2026-01-02 00:00:00").count() == total
 
 
 def test_stream_is_the_batch(spark, tmp_path):
@@ -179,7 +230,7 @@ def test_stream_is_the_batch(spark, tmp_path):
 
     def run():
         query = sync_stream(
-            stream_responses(spark, source, files_per_trigger=1), store, progress, every=None, buckets=2,
+            stream_responses(spark, source, files_per_trigger=1), store, progress, every=None,
             scanned_at="2026-01-01 00:00:00", extract=extract, checks=str(tmp_path / "checks"),
         )
         query.awaitTermination()
