@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import sys
+from bisect import bisect_right
+from itertools import accumulate
 
 import regex
 from pyspark import cloudpickle
@@ -17,7 +19,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: How many pieces and pairs of tokens a task remembers; both only save time.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters whose class (letter, number) differs between the Unicode versions of the regex and the tokenizer
 #: library, and some next to them: texts that have any are split by the tokenizer library.
 UNSURE = ("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f-\u209f\ua7ce-\ua7f1\uab6c\uab6d"
@@ -58,7 +60,7 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.tokens = {i: t for t, i in self.vocab.items()}
-        self.longest = max(map(len, self.vocab))
+        self.widest = max(map(len, self.vocab))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(as_bytes(a), as_bytes(b)): n for n, (a, b) in enumerate(pairs)}
         self.pieces, self.unsure = regex.compile(pattern), regex.compile(UNSURE)
@@ -82,25 +84,30 @@ class PrefixCounter:
 
     def encode(self, data: bytes) -> list[bytes]:
         """The tokens of a few bytes, by merging the pair of the lowest rank until there is none."""
+        ranks, none = self.ranks.get, len(self.ranks)
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(pair, len(self.ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
-                break
+        costs = [ranks(pair, none) for pair in zip(parts, parts[1:])]
+        while costs and (least := min(costs)) < none:
+            at = costs.index(least)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = ranks((parts[at - 1], parts[at]), none)
+            if at < len(costs):
+                costs[at] = ranks((parts[at], parts[at + 1]), none)
         return parts
 
     def _follows(self, pair: int) -> bool:
         first, second = self.tokens[pair >> 24], self.tokens[pair & 0xFFFFFF]
-        return self.encode(first + second) == [first, second]
+        return (first, second) not in self.ranks and self.encode(first + second) == [first, second]
 
     def _prefixes(self, piece: str) -> list[int]:
         """The count at each character of a piece, from 0 on."""
         data = piece.encode("utf-8", "surrogatepass")
-        n, get, follows, longest = len(data), self.vocab.get, self.follows, self.longest
+        n, get, follows, widest = len(data), self.vocab.get, self.follows, self.widest
         last, counts = [0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - widest), end):
                 token = get(data[start:end])
                 if token is not None and (start == 0 or follows[last[start] << 24 | token]):
                     last[end], counts[end] = token, counts[start] + 1
@@ -117,6 +124,24 @@ class PrefixCounter:
         parts = self.split.split(text)
         return sum(map(whole.__getitem__, (p for part in parts[::2] for p in find(part)))) + len(parts) // 2
 
+    def longest(self, text: str, budget: int) -> int:
+        """The most characters at the start of a text that take `budget` tokens at most."""
+        if any(s in text for s in self.special):
+            return max(k for k, n in enumerate(self.counts(text, budget)) if n <= budget)
+        pieces = self.find(text)
+        ends = list(accumulate(map(self.whole.__getitem__, pieces)))
+        begin = over = bisect_right(ends, budget)
+        if over == len(pieces):
+            return len(text)
+        # Only the piece that exceeds the budget can hold the place, or white space around it.
+        while begin and (pieces[begin].isspace() or pieces[begin][0].isspace()) and pieces[begin - 1].isspace():
+            begin -= 1
+        while over < len(pieces) - 1 and pieces[over].isspace():
+            over += 1
+        before = ends[begin - 1] if begin else 0
+        part = self.counts("".join(pieces[begin:over + 1]))
+        return sum(map(len, pieces[:begin])) + max(k for k, n in enumerate(part) if before + n <= budget)
+
     def counts(self, text: str, enough: int | None = None) -> list[int]:
         """The tokens of text[:k] at each k; with `enough`, up to where all further ones are above it."""
         out, base, at = [0], 0, 0

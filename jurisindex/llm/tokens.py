@@ -63,14 +63,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     """
 
     def rows(counter: PrefixCounter, texts: list[str | None]) -> list[pa.Array]:
-        totals, fits = [], []
-        for text in texts:
-            text = text or ""
-            totals.append(counter.count(text))
-            if totals[-1] <= limit:
-                fits.append(len(text))
-            else:
-                fits.append(max(k for k, n in enumerate(counter.counts(text, limit)) if n <= limit))
+        totals = [counter.count(t or "") for t in texts]
+        fits = [len(t or "") if n <= limit else counter.longest(t, limit) for t, n in zip(texts, totals)]
         return [pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
 
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())])
