@@ -87,11 +87,11 @@ class Words:
             stop = max(w + 1, int(np.searchsorted(end, at + block, "right")))
             if end[stop - 1] - at > block:  # one very long word
                 piece = value[at:end[stop - 1]]
-                total = np.uint64(0)
+                total = np.zeros(1, np.uint64)
                 for k in range(0, len(piece), block):
                     part = piece[k:k + block]
-                    total = mixed(np.array([total + (part * powers[:len(part)]).sum(dtype=np.uint64)]))[0]
-                out[w] = total
+                    total = mixed(total + (part * powers[:len(part)]).sum(dtype=np.uint64, keepdims=True))
+                out[w] = total[0]
             else:
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(value[at:end[stop - 1]] * powers[:end[stop - 1] - at], dtype=np.uint64)])
                 s, e = start[w:stop] - at, end[w:stop] - at

@@ -1,0 +1,101 @@
+"""The classifier on held-out labels, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from jurisindex.llm.features import features
+from jurisindex.llm.mixing import mixed_report
+from jurisindex.llm.ordinal import fit, fitted, graded, quality_report, scored
+from jurisindex.llm.simhash import near_duplicates
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_held_out_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").dropDuplicates(["doc_id"])
+    held = F.xxhash64(F.lit(99), "doc_id") % 2 == 0
+    model = fit(docs, graded(labels.where(~held)))
+    assert np.all(np.diff(model.thresholds) >= 0)
+    seen = scored(docs.join(labels.where(held), "doc_id"), model).drop("text").toPandas()
+    clean = seen[(seen.quality == 1) & (seen.toxic == 0)]
+    bad = seen[(seen.quality == 0) | (seen.toxic == 1)]
+    assert clean.kept.mean() > 0.98 and (~bad.kept).mean() > 0.9  # a fiftieth of the labels is wrong
+    assert ((seen.expected_grade >= 0) & (seen.expected_grade <= 2)).all() and (seen.kept == (seen.p_top >= 0.75)).all()
+
+
+def test_features_are_those_of_each_text():
+    texts = ["A b, idiot!", None, "", "a B idiot", "x x x x", "### %%%", "é" * 9 + " " + "y" * 2_000_000]
+    offsets, numbers = features(pa.array(texts))
+    for n, text in enumerate(texts):
+        alone = features(pa.array([text], pa.string()))[1]
+        assert numbers[offsets[n]:offsets[n + 1]].tolist() == alone.tolist()
+    assert offsets[1] == offsets[2] == offsets[3]
+
+
+def test_thresholds_are_ordered_and_scores_follow_grades():
+    rng = np.random.default_rng(0)
+    has = rng.random((900, 3)) < 0.5
+    grade = has[:, 0].astype(int) + has[:, 1]
+    rows = [np.flatnonzero(h) + 5 for h in has]
+    offsets, numbers = np.cumsum([0, *map(len, rows)]), np.concatenate(rows)
+    model = fitted(grade, offsets, numbers)
+    expected = model.chances(offsets, numbers).sum(axis=1)
+    assert model.thresholds[0] < model.thresholds[1]
+    assert expected[grade == 0].max() < expected[grade == 1].min() < expected[grade == 1].max() < expected[grade == 2].min()
+
+
+def test_classifier_without_labels_nulls_and_repeats(spark):
+    rows = [(1, "good words here", "x"), (1, "good words here", "x"), (2, None, "y"), (None, "z " * 9000, "y"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_report(docs, none).collect()
+    assert len(got) == 5 and all(r.kept and r.p_top is None for r in got)
+    odd = spark.createDataFrame([(1, 1, None), (1, 1, 0), (1, 0, 0), (2, 0, 1), (77, 1, 1), (None, 1, 0)], none.schema)
+    got = scored(docs, fit(docs.select("doc_id", "text"), graded(odd)))
+    assert got.columns == ["doc_id", "text", "expected_grade", "p_top", "kept"] and got.count() == 5
+    assert got.where("kept IS NULL OR p_top IS NULL").count() == 0
+    assert quality_report(docs.limit(0), odd).count() == 0
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    """The rows before the first stage and after each, read again as the next one reads them."""
+    folder, docs = tmp_path_factory.mktemp("pipeline"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = [docs]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "/root/testdata/sf0.01").write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+        out.append(docs)
+    return out
+
+
+def test_stages(spark, steps):
+    raw, good, single, clean, mixed, sharded = steps
+    assert all(set(s.columns) == set(raw.columns) for s in steps[:-1])
+    kept = quality_report(raw, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).where("kept")
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in kept.collect()}
+    groups = near_duplicates(good).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in groups.collect()}
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    items = [shingles(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    leaks = {r.doc_id for r in single.collect() if any(len(shingles(r.text) & i) >= 0.8 * len(i) for i in items)}
+    assert leaks and {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - leaks
+    wanted = {r.doc_id: r.copies for r in mixed_report(clean).collect() if r.copies}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == wanted
+    assert sharded.count() == mixed.count() and sharded.select("shard", "slot").distinct().count() == sharded.count()
+    sizes = [r["count"] for r in sharded.groupBy("shard").count().collect()]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) <= 1
+
+
+def test_run_gives_the_last_stage(spark, steps):
+    assert sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect())) == sorted(map(tuple, steps[-1].collect()))
