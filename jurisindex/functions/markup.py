@@ -8,7 +8,7 @@ not hold a bare '>'.  Work that needs an element's ancestors is in `operators.an
 from __future__ import annotations
 
 from functools import lru_cache
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,34 +25,49 @@ ANCHOR = (r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^
           r"""(.*?)(?=</a\b|<a\s|\z)""")
 # As HTML 5 reads them: numbers and the older names also count without their ';'.
 OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
-ENTITY = (r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31}(?=;)|"
-          + "|".join(OLD_NAMES) + ")(;?)")
+FULL_NAME = r"^([A-Za-z][A-Za-z0-9]{1,31};)"
+OLD_NAME = "^(" + "|".join(OLD_NAMES) + ");?"
+NUMBER = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
+# Numbers that stand for a character of Windows-1252, and those that stand for nothing.
+WINDOWS = {str(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)} | {"13": "\r"}
 _CUT = "\u0001"
 ALL = 2**30  # longer than any array; `slice` adds it to the start
 
 
 @lru_cache(maxsize=1)
 def _named_entities() -> dict[str, str]:
-    names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-    return names | {name: html5[name] for name in OLD_NAMES}
+    return dict(html5)
+
+
+def _numbered(hexadecimal: Column, decimal: Column) -> Column:
+    """The character of a number of any length."""
+    digits = F.regexp_replace(F.when(hexadecimal != "", hexadecimal).otherwise(decimal), "^0+(?=.)", "")
+    short = F.when(F.length(digits) <= 8, digits)
+    code = F.when(hexadecimal != "", F.conv(short, 16, 10).cast("bigint")).otherwise(short.cast("bigint"))
+    none = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+        | code.bitwiseAND(F.lit(0xFFFE).cast("bigint")).eqNullSafe(0xFFFE)
+    )
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(
+        text_map(WINDOWS)[code.cast("string")],
+        F.when(valid & none, "").when(valid, letter), F.lit("\ufffd"),
+    )
 
 
 def _decode_piece(piece: Column) -> Column:
     """`piece` is the text after an '&'."""
     names = text_map(_named_entities())
-    name = F.regexp_extract(piece, ENTITY, 1)
-    size = F.length(F.regexp_extract(piece, ENTITY, 0))
-    code = F.when(
-        F.lower(name).startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")
-    ).otherwise(F.substr(name, F.lit(2)).try_cast("bigint"))
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    value = F.when(
-        name.startswith("#"), F.when(valid, letter).otherwise(F.lit("\ufffd"))
-    ).otherwise(names[name])
-    rest = F.substr(piece, size + 1)
-    return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(
-        F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece))
+    full, old = F.regexp_extract(piece, FULL_NAME, 1), F.regexp_extract(piece, OLD_NAME, 1)
+    number = F.regexp_extract(piece, NUMBER, 0)
+    numbered = _numbered(F.regexp_extract(piece, NUMBER, 1), F.regexp_extract(piece, NUMBER, 2))
+    cut = lambda found: F.substr(piece, F.length(found) + 1)
+    return (
+        F.when(number != "", F.concat(numbered, cut(number)))
+        .when(names[full].isNotNull(), F.concat(names[full], cut(full)))
+        .when(old != "", F.concat(names[old], cut(old)))
+        .otherwise(F.concat(F.lit("&"), piece))
     )
 
 

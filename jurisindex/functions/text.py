@@ -49,23 +49,52 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text(c), WHITESPACE_RUN, " "))
 
 
+_HANGUL = range(0xAC00, 0xD7A4)  # decomposed by the rule of their code points
+
+
+def _unmarked(value: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFD", value) if ch not in _MARKS)
+
+
 @lru_cache(maxsize=1)
-def _fold_alphabet() -> tuple[str, str]:
-    """Letters with canonical accents, and their base letters, by the Unicode decomposition rule."""
-    source, target = [], []
-    for code in range(0xC0, 0x3000):
-        letter = chr(code)
-        base = "".join(ch for ch in unicodedata.normalize("NFD", letter) if ch not in _MARKS)
-        if len(base) == 1 and base != letter:
+def _fold_alphabet() -> tuple[str, str, dict[str, str]]:
+    """Letters and their base letters, and those of several characters, by the Unicode decomposition rule."""
+    source, target, several = [], [], {}
+    for code in range(0xC0, 0x110000):
+        if 0xD800 <= code < 0xE000 or code in _HANGUL or 0x300 <= code < 0x370:
+            continue
+        letter, base = chr(code), _unmarked(chr(code))
+        if base != letter and len(base) == 1:
             source.append(letter)
             target.append(base)
-    return "".join(source), "".join(target)
+        elif base != letter and base:
+            several[letter] = base
+    return "".join(source), "".join(target), several
+
+
+def _letter(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _hangul_parts(letter: Column) -> Column:
+    place = F.ascii(letter) - _HANGUL.start
+    last = F.when(place % 28 > 0, _letter(0x11A7 + place % 28)).otherwise("")
+    return F.concat(_letter(0x1100 + F.floor(place / 588)), _letter(0x1161 + F.floor(place % 588 / 28)), last)
+
+
+def _decomposed(c: Column) -> Column:
+    """Letters that are several characters apart, such as Hangul syllables and voiced kana; few texts have any."""
+    several = _fold_alphabet()[2]
+    hangul = f"[{chr(_HANGUL.start)}-{chr(_HANGUL.stop - 1)}]"
+    parts = text_map(several)
+    taken = F.transform(
+        F.split(c, ""), lambda ch: F.when(ch.rlike(hangul), _hangul_parts(ch)).otherwise(F.coalesce(parts[ch], ch)))
+    return F.when(c.rlike(hangul + "|[" + "".join(several) + "]"), F.array_join(taken, "")).otherwise(c)
 
 
 def fold_value(value: str | None) -> str:
     """Fold a keyword on the driver, the same way `fold` does a column."""
-    kept = (ch for ch in unicodedata.normalize("NFD", value or "") if ch not in _MARKS)
-    return "".join(kept).lower().strip()
+    return _unmarked(value or "").lower().strip()
 
 
 def fold(c: Column | str) -> Column:
@@ -74,10 +103,10 @@ def fold(c: Column | str) -> Column:
     One `translate` pass replaces accented letters and deletes combining marks, which have
     no counterpart in the shorter target alphabet.  Plain ASCII texts skip it.
     """
-    source, target = _fold_alphabet()
+    source, target, _ = _fold_alphabet()
     c = text(c)
     is_ascii = F.octet_length(c) == F.char_length(c)
-    plain = let(F.translate(c, source + _MARKS, target), strip)
+    plain = let(F.translate(_decomposed(c), source + _MARKS, target), strip)
     return F.lower(F.when(is_ascii, strip(c)).otherwise(plain))
 
 
@@ -97,7 +126,7 @@ def ascii_fold_value(value: str) -> str:
 def _slug_alphabet() -> tuple[str, str, dict[str, str]]:
     """Compatibility forms of letters and digits: one-to-one pairs, and one-to-many expansions."""
     source, target, expansions, marks = [], [], {}, []
-    for code in range(0x80, 0x1F200):
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         letter = chr(code)
         if unicodedata.combining(letter):
             marks.append(letter)

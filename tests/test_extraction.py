@@ -96,7 +96,7 @@ def test_anchors_only_without_table_rows(spark):
     rows = html_decisions(responses(spark, [anchor, anchor + f"<table><tr><td><a href='{LINK}'>f</a></td></tr>"]))
     found = {}
     for r in rows.orderBy("arrival").collect():
-        found.setdefault(r.arrival >> 24, []).append((r.patron, r.numero_sentencia, r.expediente, r.fecha, r.ano, r.tema))
+        found.setdefault(int(r.arrival) >> 32, []).append((r.patron, r.numero_sentencia, r.expediente, r.fecha, r.ano, r.tema))
     assert found[0] == [
         ("enlace", "161", "C25/664", "Marzo 2026", 2026, "Un tema"),
         ("enlace", "161", "c25/664", "Marzo 2026", 2026, "Jurisprudencia"),

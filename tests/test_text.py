@@ -124,3 +124,30 @@ def test_table_rows_may_be_unclosed(spark):
     html = "<table><tr><td>1<td> <b>2</b> x <tr><th>3</th></tr></table>fuera"
     rows = run(spark, [html], F.transform(M.table_rows(F.col("v")), M.table_cells))[0]
     assert rows == [["1", "2x"], ["3"]]
+
+
+def test_keyword_and_column_fold_alike(spark):
+    values = ["が", "한국 법원", "각값", "Árbol", "Ἀθῆναι", "Ёлка", "اآ", "Ǆ", "Å", "ﬁ", "\U0001d15e", "क़", "plain", "", "́"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for row in df.select("v", T.fold("v").alias("folded")).collect():
+        assert row.folded == T.fold_value(row.v), row.v
+
+
+def test_references_as_html5_reads_them(spark):
+    import html
+    from html.entities import html5
+
+    values = [f"&{name}{end}" for name in html5 for end in ("", "x", "; z")]
+    numbers = [*range(0, 300), 0xD7FF, 0xD800, 0xE000, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000, 99_999_999, 10**30]
+    values += [f"&#{n}{end}" for n in numbers for end in (";", " ")]
+    values += ["&#x80;", "&#X41", "&#x000041;", "&#xD800;", "&", "&&amp;", "&notit;", "a &#x; &#; b", "&#" + "0" * 40 + "65;"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    wrong = [r for r in df.select("v", M.decode_entities("v").alias("d")).collect() if r.d != html.unescape(r.v)]
+    assert not wrong
+
+
+def test_json_of_a_long_string(spark):
+    from jurisindex.sources.captures import is_json
+
+    body = F.concat(F.lit('[{"url": "u", "asunto": "'), F.repeat(F.lit("x"), F.lit(21_000_000)), F.lit('"}]'))
+    assert spark.range(1).select(is_json(body).alias("j")).first().j
