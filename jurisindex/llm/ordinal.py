@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.llm.features import BITS, features
+from jurisindex.llm.words import sliced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -90,7 +91,7 @@ def fitted(grade: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> Model
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         offsets, numbers = features(batch.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(numbers.astype(np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), lists], names=["doc_id", "grade", "numbers"])
@@ -143,7 +144,7 @@ def scored(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             chances = sent.value.chances(*features(batch.column("text")))
             columns = [pa.array(chances.sum(axis=1)), pa.array(chances[:, -1]), pa.array(chances[:, -1] >= keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,6 +26,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Bytes of text that a task holds as arrays at a time, but for a single longer text.
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts are small enough to be held as arrays."""
+    for batch in batches:
+        part = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a or not batch.num_rows:
+                yield batch.slice(a, b - a)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
