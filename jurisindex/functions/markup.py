@@ -13,7 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jurisindex.functions.binding import text_map
+from jurisindex.functions.binding import let, text_map
 from jurisindex.functions.text import LINE_BREAK, col, strip, text
 
 # Comments and elements whose text is never shown.
@@ -27,7 +27,7 @@ ANCHOR = (r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^
 OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
 FULL_NAME = r"^([A-Za-z][A-Za-z0-9]{1,31};)"
 OLD_NAME = "^(" + "|".join(OLD_NAMES) + ");?"
-NUMBER = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
+NUMBER = r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?"
 # Numbers that stand for a character of Windows-1252, and those that stand for nothing.
 WINDOWS = {str(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)} | {"13": "\r"}
 _CUT = "\u0001"
@@ -39,46 +39,49 @@ def _named_entities() -> dict[str, str]:
     return dict(html5)
 
 
-def _numbered(hexadecimal: Column, decimal: Column) -> Column:
-    """The character of a number of any length."""
-    digits = F.regexp_replace(F.when(hexadecimal != "", hexadecimal).otherwise(decimal), "^0+(?=.)", "")
-    short = F.when(F.length(digits) <= 8, digits)
-    code = F.when(hexadecimal != "", F.conv(short, 16, 10).cast("bigint")).otherwise(short.cast("bigint"))
-    none = (
-        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
-        | code.bitwiseAND(F.lit(0xFFFE).cast("bigint")).eqNullSafe(0xFFFE)
-    )
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(
-        text_map(WINDOWS)[code.cast("string")],
-        F.when(valid & none, "").when(valid, letter), F.lit("\ufffd"),
-    )
+def _numbered(number: Column) -> Column:
+    """The character of a numeric reference of any length."""
+
+    def code_of(digits: Column) -> Column:
+        decimal = F.when(F.length(digits) <= 8, digits).cast("bigint")
+        return F.when(digits.startswith("x"), F.when(F.length(digits) <= 9, F.conv(F.substr(digits, F.lit(2)), 16, 10)).cast("bigint")
+                      ).otherwise(decimal)
 
+    def character(code: Column) -> Column:
+        none = (
+            code.between(1, 8) | code.isin(11, 127) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF)
+            | (code.bitwiseAND(F.lit(0xFFFE).cast("bigint")) == 0xFFFE)
+        )
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(
+            text_map(WINDOWS)[code.cast("string")], F.when(valid, F.when(none, "").otherwise(letter)), F.lit("\ufffd"))
 
-def _decode_piece(piece: Column) -> Column:
+    digits = F.regexp_replace(F.lower(number), "^#(x?)0*(?=[0-9a-f])|;", "$1")
+    return let(let(digits, code_of), character)
+
+
+def _decode_piece(piece: Column, names: Column) -> Column:
     """`piece` is the text after an '&'."""
-    names = text_map(_named_entities())
     full, old = F.regexp_extract(piece, FULL_NAME, 1), F.regexp_extract(piece, OLD_NAME, 1)
     number = F.regexp_extract(piece, NUMBER, 0)
-    numbered = _numbered(F.regexp_extract(piece, NUMBER, 1), F.regexp_extract(piece, NUMBER, 2))
     cut = lambda found: F.substr(piece, F.length(found) + 1)
-    return (
-        F.when(number != "", F.concat(numbered, cut(number)))
-        .when(names[full].isNotNull(), F.concat(names[full], cut(full)))
-        .when(old != "", F.concat(names[old], cut(old)))
-        .otherwise(F.concat(F.lit("&"), piece))
+    named = F.coalesce(
+        F.when(full != "", F.concat(names[full], cut(full))),
+        F.when(old != "", F.concat(names[old], cut(old))),
+        F.concat(F.lit("&"), piece),
     )
+    return F.when(number != "", F.concat(_numbered(number), cut(number))).otherwise(named)
 
 
 def decode_entities(c: Column | str) -> Column:
     """Replace named and numeric character references, each once."""
     c = col(c)
     pieces = F.split(c, "&")
-    decoded = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, 2, ALL), _decode_piece), ""),
-    )
+    # The table stands once in the plan.
+    rest = let(text_map(_named_entities()), lambda names: F.transform(
+        F.slice(pieces, 2, ALL), lambda piece: _decode_piece(piece, names)))
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
     return F.when(c.contains("&"), decoded).otherwise(c)
 
 
