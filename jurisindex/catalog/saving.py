@@ -179,9 +179,8 @@ def sync_filtered(spark, sf):
 
 
 def _write_files(df, path):
-    """Write a stream's input as several files, at most some thousands; returns a third of their number."""
-    per_file = max(5_000, df.count() // 3_000)
-    df.write.option("maxRecordsPerFile", per_file).parquet(path)
+    """Write a stream's input as files of at most 5,000 rows; returns a third of their number."""
+    df.write.option("maxRecordsPerFile", 5_000).parquet(path)
     return -(-len(df.sparkSession.read.parquet(path).inputFiles()) // 3)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jurisindex.catalog.fixture import DEC, STORE, decisions, store, table
+from jurisindex.catalog.fixture import DEC, HOSTS, STORE, decisions, single_responses, store, table
 from jurisindex.catalog.registry import query
 from jurisindex.functions.constants import MES_CHOICES, SALA_CHOICES, SEED_DECISIONS
 from jurisindex.operators import stats
@@ -14,12 +14,19 @@ from jurisindex.operators.pages import (
 )
 from jurisindex.operators.scan_plan import missing_scans, scan_plan
 from jurisindex.operators.search import newest_first
+from jurisindex.plans.sync import captured_decisions
 from jurisindex.sources.dimensions import mes_choices, sala_choices
 
 _STORE_COLUMNS = ("link_directo, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema, materia, asunto, "
                   "extracto, first_seen, last_seen")
 
 
+def _captured(spark, sf):
+    """The rows of one response for each decision: JSON, table rows and anchors, with the years of their scans."""
+    responses = single_responses(decisions(spark, sf))
+    return captured_decisions(responses, row_hosts=HOSTS, anchor_hosts=HOSTS, scan_year=True)
+
+
 @query("store_scan", STORE + f"SELECT {_STORE_COLUMNS} FROM store")
 def store_scan(spark, sf):
     return newest_first(store(spark, sf)).select(*_STORE_COLUMNS.split(", "))
@@ -56,8 +63,8 @@ SELECT s.sala_key, s.code, CAST(s.i + 1 AS STRING) AS portal_id, s.sala AS nombr
 FROM sala s, (SELECT unnest(generate_series(1994, 2003)) AS ano) y
 WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE d.sala_key = s.sala_key AND d.ano = y.ano)""")
 def plan(spark, sf):
-    """What is left of a scan of all chambers once the decisions at hand are taken off."""
-    return missing_scans(scan_plan(spark, "todas", 1994, 2003), decisions(spark, sf))
+    """What is left of a scan of all chambers once what was captured is taken off."""
+    return missing_scans(scan_plan(spark, "todas", 1994, 2003), _captured(spark, sf))
 
 
 # --- counts --------------------------------------------------------------------------------
@@ -99,7 +106,7 @@ SELECT sala_key, ano, 0 AS nivel, count(*) AS n FROM dec GROUP BY sala_key, ano
 UNION ALL SELECT sala_key, NULL, 1, count(*) FROM dec GROUP BY sala_key
 UNION ALL SELECT NULL, NULL, 3, count(*) FROM dec""")
 def capture_counts(spark, sf):
-    return stats.capture_counts(decisions(spark, sf))
+    return stats.capture_counts(_captured(spark, sf))
 
 
 # --- fallback ------------------------------------------------------------------------------

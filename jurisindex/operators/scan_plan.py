@@ -19,6 +19,7 @@ def scan_plan(spark: SparkSession, sala_key: str, ano_inicio: int, ano_fin: int)
 
 
 def missing_scans(plan: DataFrame, captured: DataFrame) -> DataFrame:
-    """Planned pairs of which nothing was captured."""
-    present = captured.select("sala_key", "ano").distinct()
+    """Planned pairs of which nothing was captured, by the year of the scan where the rows tell it."""
+    ano = F.col("ano_escaneo" if "ano_escaneo" in captured.columns else "ano").alias("ano")
+    present = captured.select("sala_key", ano).distinct()
     return plan.join(present, ["sala_key", "ano"], "left_anti")
