@@ -177,6 +177,46 @@ def detail(spark, sf):
     return search.decision_detail(store(spark, sf), link)
 
 
+def _gaps(df):
+    """The store with fields missing here and there: null in one row of five, empty in another."""
+    gone = lambda c, k: F.when(F.col("first_seen") % 5 == k, None).when(F.col("first_seen") % 7 == k, "").otherwise(F.col(c))
+    return df.withColumns({c: gone(c, k % 5) for k, c in enumerate(_GAPPED)})
+
+
+_GAPPED = ("numero_sentencia", "expediente", "fecha", "tema", "materia", "asunto", "extracto", "link_directo")
+_GAPS = STORE + ", gaps AS (SELECT sala, ano, " + ", ".join(
+    f"CASE WHEN first_seen % 5 = {k % 5} THEN NULL WHEN first_seen % 7 = {k % 5} THEN '' ELSE {c} END AS {c}"
+    for k, c in enumerate(_GAPPED)) + " FROM store)"
+_GAP_DATE = "coalesce(nullif(fecha, ''), CAST(ano AS STRING))"
+_GAP_BODY = "coalesce(nullif(extracto, ''), nullif(asunto, ''), '')"
+
+
+@query("export_matrix_gaps", _GAPS + """
+SELECT 'Sala ' || replace(replace(sala, 'Sala de ', ''), 'Sala ', '') AS sala,
+  coalesce(numero_sentencia, 'S/N') AS numero_sentencia, coalesce(expediente, 'S/E') AS expediente,
+  coalesce(fecha, 'N/A') AS fecha, coalesce(tema, 'Sentencia') AS tema, coalesce(materia, 'Derecho Procesal') AS materia,
+  coalesce(asunto, '') AS asunto, coalesce(extracto, asunto, '') AS extracto,
+  coalesce(link_directo, 'https://historico.tsj.gob.ve') AS link_directo FROM gaps""")
+def matrix_gaps(spark, sf):
+    return export_matrix(_gaps(store(spark, sf)))
+
+
+@query("decision_cards_gaps", _GAPS + f"""
+SELECT sala, {_GAP_DATE} AS fecha, numero_sentencia, expediente, 'No especificado' AS ponente,
+  coalesce(nullif(tema, ''), 'Jurisprudencia') AS tema, coalesce(nullif(materia, ''), 'Derecho Procesal') AS materia,
+  substr({_GAP_BODY}, 1, 130) || '...' AS vista, link_directo FROM gaps""")
+def cards_gaps(spark, sf):
+    return search.decision_cards(_gaps(store(spark, sf)))
+
+
+@query("decision_detail_gaps", _GAPS + f"""
+SELECT sala, expediente, numero_sentencia, coalesce({_GAP_DATE}, '') AS fecha, 'No especificado' AS ponente,
+  coalesce(nullif(tema, ''), 'General') AS tema, coalesce(nullif(materia, ''), 'General') AS materia,
+  {_GAP_BODY} AS extracto, coalesce(nullif(link_directo, ''), '#') AS url FROM gaps""")
+def detail_gaps(spark, sf):
+    return search.detail_view(_gaps(store(spark, sf)))
+
+
 @query("decision_at", STORE + """
 SELECT sala, expediente, numero_sentencia, fecha, 'No especificado' AS ponente, tema, materia, extracto,
   link_directo AS url FROM store ORDER BY ano DESC, first_seen DESC LIMIT 1 OFFSET 5""")
