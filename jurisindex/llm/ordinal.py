@@ -127,7 +127,10 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, see
     one_each = rows.groupBy("doc_id").agg(F.min(F.struct("numbers", "grade")).alias("r")).select("r.grade", "r.numbers")
     found = one_each.repartition(1).mapInArrow(
         _fit, "numbers array<bigint>, weights array<double>, thresholds array<double>").collect()
-    return Model(*map(np.array, found[0])) if found else None
+    if not found:
+        return None
+    numbers, weights, thresholds = found[0]
+    return Model(np.array(numbers, np.int64), np.array(weights, np.float64), np.array(thresholds, np.float64))
 
 
 def scored(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
