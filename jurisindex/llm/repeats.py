@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-from jurisindex.llm.words import Words, joined, mixed, windows
+from jurisindex.llm.words import Words, joined, mixed, sliced, windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -68,7 +68,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 def anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(hash, id, th, at) of each anchor of the texts (id, th, text)."""
-    for batch in batches:
+    for batch in sliced(batches):
         found = Anchored(batch.column("text"), length, gram)
         places, index = np.unique(found.anchor, return_index=True)
         text = found.text[index]
@@ -84,7 +84,7 @@ def blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, half: int)
     the half windows that hold the anchor and `hull` that of all its words.  Texts without blocks are dropped
     for the digest of their words.
     """
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text")
         found = Anchored(texts, length, gram)
         first = found.words.first
@@ -127,7 +127,7 @@ def open_windows(batches: Iterator[pa.RecordBatch], length: int, gram: int, half
     `halves` are the repeated half windows (place of the anchor, negative less one on the left side), `copies`
     the anchors of repeated blocks, negative less one if this one stands for all.
     """
-    for batch in batches:
+    for batch in sliced(batches):
         words = Words(batch.column("text"))
         whole = windows(words.hashes(), length) if len(words) >= length else np.zeros(0, np.uint64)
         anchor, row = _flat(batch.column("anchor"))
@@ -154,7 +154,7 @@ def open_windows(batches: Iterator[pa.RecordBatch], length: int, gram: int, half
 
 def cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_words, n_removed, kept) of the texts: words of repeated windows are gone."""
-    for batch in batches:
+    for batch in sliced(batches):
         found = Words(batch.column("text"))
         anchor, row = _flat(batch.column("anchor"))
         low, high = _flat(batch.column("low"))[0], _flat(batch.column("high"))[0]
