@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.llm.durable import durable
-from jurisindex.llm.words import Words, windows
+from jurisindex.llm.words import Words, sliced, windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -130,7 +130,7 @@ def contaminations(docs: DataFrame, items: DataFrame, words: int = SHINGLE, thre
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            for batch in batches:
+            for batch in sliced(batches):
                 rows, which, shared = index.contained(batch.column("text"))
                 sizes = [len(index.shingles[n][1]) for n in which]
                 at = pa.array(rows, pa.int64())
