@@ -33,21 +33,30 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The fingerprint of a text, A-Z lower-cased; fewer words than a shingle's are one shingle, none give 0."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """A hash of each shingle, A-Z lower-cased; fewer words than a shingle's are one, none are an empty one."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split() or [b""]
     joined, ends = b" ".join(found), list(accumulate(len(w) + 1 for w in found))
     starts, size = [0, *ends[:-1]], max(1, len(found) - words + 1)
     spans = zip(starts[:size], ends[min(words, len(found)) - 1:])
     hashed = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hashed(joined[s:e - 1], SEED) for s, e in spans), np.uint64, size)
+    return np.fromiter((hashed(joined[s:e - 1], SEED) for s, e in spans), np.uint64, size)
+
+
+def code_of(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, size, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         part = hashes[at:at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > size).tobytes())
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes())
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The fingerprint of a text, A-Z lower-cased; fewer words than a shingle's are one shingle, none give 0."""
+    if not (text or "").encode("utf-8", "surrogatepass").split():
+        return 0
+    return code_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -111,7 +120,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, limit: int = LIMIT, k
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one row of each component: that of the least doc_id (null last), of equal ids any one text."""
-    found = near_duplicates(docs, **options)
+    return least_of_each(docs, near_duplicates(docs, **options))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with one row of each component of `found` (doc_id, key, code, component_id)."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
     # Components without any doc_id are told apart by their codes, which all are the same text's or near it.
     group = [F.coalesce("component_id", F.lit(0)), F.col("component_id").isNull(), F.when(F.col("component_id").isNull(), F.col("code"))]
