@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jurisindex.llm import containment, mixing, ordinal, resemblance, sharding
+from jurisindex.llm import containment, mixing, ordinal, sharding, simhash
 from jurisindex.llm.durable import durable
 
 SHARDS = 40
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8 or more): that of the least doc_id."""
-    return resemblance.one_of_each_resembling(docs)
+    """One document of each group whose SimHashes (four words) link at four bits or fewer: that of the least doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
