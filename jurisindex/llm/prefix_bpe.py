@@ -1,9 +1,13 @@
 """Exact byte-pair token counts of every prefix of a text, by dynamic programming.
 
 The encoding of a prefix ends with one token; what is before that token is the encoding of a shorter prefix.
-A token can follow another only if the two, side by side, are encoded as themselves.  So the last token of
-each prefix is found from those of shorter prefixes, and its count is one more: one pass gives the count of
-every prefix of a piece, where encoding each of them anew would take a pass for each.
+A token can follow another only if no merge joins what lies at their border before both are whole.  So the last
+token of each prefix is found from those of shorter prefixes, and its count is one more: one pass of an
+automaton, which names the tokens that end at each byte, gives the count of every prefix of a piece, where
+encoding each of them anew would take a pass for each.
+
+The table of a text has the counts at the ends of its pieces, from one split, and those inside a piece where a
+question ends in it; how many tokens a text has and what fits a budget are both read from it.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ import sys
 from bisect import bisect_right
 from itertools import accumulate
 
+import ahocorasick
 import regex
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: How many pieces and pairs of tokens a task remembers; both only save time.
-REMEMBERED = 800_000
+#: How many pieces and pairs of tokens a task remembers, and the longest such piece; they only save time.
+REMEMBERED, SHORT = 800_000, 64
 #: Characters whose class (letter, number) differs between the Unicode versions of the regex and the tokenizer
 #: library, and some next to them: texts that have any are split by the tokenizer library.
 UNSURE = ("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f-\u209f\ua7ce-\ua7f1\uab6c\uab6d"
@@ -27,7 +32,7 @@ UNSURE = ("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f-\u209f\ua7ce-\ua7f1\uab6c
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -43,6 +48,8 @@ class _Memory(dict):
 
     def __missing__(self, key):
         value = self.make(key)
+        if isinstance(key, str) and len(key) > SHORT:
+            return value
         if len(self) >= REMEMBERED:
             self.clear()
         self[key] = value
@@ -55,14 +62,23 @@ class PrefixCounter:
     def __init__(self, vocabulary: bytes, pattern: str = PATTERN) -> None:
         self.made_of = vocabulary, pattern
         spec = json.loads(vocabulary)
-        letters = _letters()
+        letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.tokens = {i: t for t, i in self.vocab.items()}
-        self.widest = max(map(len, self.vocab))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): n for n, (a, b) in enumerate(pairs)}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: the two that make it, and the merge's rank
+        for rank, (a, b) in enumerate(pairs):
+            a, b = as_bytes(a), as_bytes(b)
+            one, other = self.vocab[a], self.vocab[b]
+            self.ranks[one, other] = rank
+            self.parts.setdefault(self.vocab[a + b], (one, other, rank))
+        self.ends = ahocorasick.Automaton()
+        for token, i in self.vocab.items():
+            self.ends.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ends.make_automaton()
+        self.borders = _Memory(self._borders)
         self.pieces, self.unsure = regex.compile(pattern), regex.compile(UNSURE)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
                                    ) if self.special else None
@@ -84,55 +100,85 @@ class PrefixCounter:
 
     def encode(self, data: bytes) -> list[bytes]:
         """The tokens of a few bytes, by merging the pair of the lowest rank until there is none."""
-        ranks, none = self.ranks.get, len(self.ranks)
+        ranks, none = self.ranks, len(self.ranks)
         parts = [data[i:i + 1] for i in range(len(data))]
-        costs = [ranks(pair, none) for pair in zip(parts, parts[1:])]
-        while costs and (least := min(costs)) < none:
-            at = costs.index(least)
+        while len(parts) > 1:
+            ids = [self.vocab[p] for p in parts]
+            least, at = min((ranks.get(pair, none), i) for i, pair in enumerate(zip(ids, ids[1:])))
+            if least == none:
+                break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            del costs[at]
-            if at:
-                costs[at - 1] = ranks((parts[at - 1], parts[at]), none)
-            if at < len(costs):
-                costs[at] = ranks((parts[at], parts[at + 1]), none)
         return parts
 
+    def _borders(self, token: int) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+        """What stands at the left and at the right end of a token while it is made, each with the rank that merges it."""
+        sides = []
+        for side in (0, 1):
+            own, rank = [(token, float("inf"))], None
+            while (parts := self.parts.get(own[-1][0])) is not None:
+                rank = parts[2]
+                own.append((parts[side], rank))
+            sides.append(own[::-1])
+        return sides[0], sides[1]
+
     def _follows(self, pair: int) -> bool:
-        first, second = self.tokens[pair >> 24], self.tokens[pair & 0xFFFFFF]
-        return (first, second) not in self.ranks and self.encode(first + second) == [first, second]
+        """Whether the second token stays apart from the first: no merge at their border comes before their own."""
+        left, right = self.borders[pair >> 24][1], self.borders[pair & 0xFFFFFF][0]
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = left[i], right[j]
+            rank = self.ranks.get((x, y))
+            # Of equal merges the leftmost comes first.
+            if rank is not None and rank < x_until and rank <= y_until:
+                return False
+            if x_until <= y_until:
+                i += 1
+                if i == len(left):
+                    return True
+            else:
+                j += 1
 
     def _prefixes(self, piece: str) -> list[int]:
         """The count at each character of a piece, from 0 on."""
         data = piece.encode("utf-8", "surrogatepass")
-        n, get, follows, widest = len(data), self.vocab.get, self.follows, self.widest
+        n, follows = len(data), self.follows
         last, counts = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - widest), end):
-                token = get(data[start:end])
-                if token is not None and (start == 0 or follows[last[start] << 24 | token]):
-                    last[end], counts[end] = token, counts[start] + 1
-                    break
+        for at, (token, size) in self.ends.iter(data.decode("latin-1")):
+            if counts[at + 1]:
+                continue
+            start = at + 1 - size
+            if start == 0 or follows[last[start] << 24 | token]:
+                last[at + 1], counts[at + 1] = token, counts[start] + 1
         if n == len(piece):
             return counts
         return [counts[0]] + [counts[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
 
+    def table(self, text: str) -> tuple[list[str], list[int], bool]:
+        """The pieces of a text, the count at the end of each, and whether special strings are among them."""
+        known = self.whole.__getitem__
+        if self.split is None or not any(s in text for s in self.special):
+            pieces = self.find(text)
+            return pieces, list(accumulate(map(known, pieces))), False
+        pieces, counts = [], []
+        for n, part in enumerate(self.split.split(text)):
+            own = [part] if n % 2 else self.find(part)
+            pieces += own
+            counts += [1] if n % 2 else map(known, own)
+        return pieces, list(accumulate(counts)), True
+
     def count(self, text: str) -> int:
         """The tokens of a whole text."""
-        whole, find = self.whole, self.find
-        if self.split is None or not any(s in text for s in self.special):
-            return sum(map(whole.__getitem__, find(text)))
-        parts = self.split.split(text)
-        return sum(map(whole.__getitem__, (p for part in parts[::2] for p in find(part)))) + len(parts) // 2
+        ends = self.table(text)[1]
+        return ends[-1] if ends else 0
 
-    def longest(self, text: str, budget: int) -> int:
-        """The most characters at the start of a text that take `budget` tokens at most."""
-        if any(s in text for s in self.special):
-            return max(k for k, n in enumerate(self.counts(text, budget)) if n <= budget)
-        pieces = self.find(text)
-        ends = list(accumulate(map(self.whole.__getitem__, pieces)))
+    def longest(self, text: str, budget: int, table: tuple[list[str], list[int], bool] | None = None) -> int:
+        """The most characters at the start of a text that take `budget` tokens at most; `table` is the text's."""
+        pieces, ends, special = table or self.table(text)
         begin = over = bisect_right(ends, budget)
         if over == len(pieces):
             return len(text)
+        if special:
+            return max(k for k, n in enumerate(self.counts(text, budget)) if n <= budget)
         # Only the piece that exceeds the budget can hold the place, or white space around it.
         while begin and (pieces[begin].isspace() or pieces[begin][0].isspace()) and pieces[begin - 1].isspace():
             begin -= 1

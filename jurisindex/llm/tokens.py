@@ -21,14 +21,17 @@ def _with(docs: DataFrame, vocabulary: str, fields: T.StructType, rows) -> DataF
     """`docs` with more columns, made by rows(counter, texts) for each batch.
 
     The vocabulary file (a few MB) is read here and sent to the tasks, which need no such file.  A worker
-    keeps its counter, with the pieces that it knows, from task to task.
+    keeps its counter, with the pieces that it knows, next to the file from task to task.
     """
     added = [f.name for f in fields]
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in added])
-    sent = docs.sparkSession.sparkContext.broadcast(PrefixCounter(Path(vocabulary).read_bytes()))
+    sent = docs.sparkSession.sparkContext.broadcast({"file": Path(vocabulary).read_bytes()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = sent.value
+        held = sent.value
+        if "counter" not in held:
+            held["counter"] = PrefixCounter(held["file"])
+        counter = held["counter"]
         for batch in batches:
             columns = rows(counter, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
@@ -59,12 +62,18 @@ def longest_prefix(counts: Column, budget: Column) -> Column:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     """`docs` (with text) with n_tokens (long) and fit_chars (long), the longest prefix of `limit` tokens at most.
 
-    A null text counts as an empty one.  Columns of docs with these names are replaced.
+    Both are read from one table of the text's prefixes.  A null text counts as an empty one; a very long piece
+    is counted whole, but not remembered.  Repeated rows each get theirs, an empty table gives no rows.  Columns
+    of docs with these names are replaced.
     """
 
     def rows(counter: PrefixCounter, texts: list[str | None]) -> list[pa.Array]:
-        totals = [counter.count(t or "") for t in texts]
-        fits = [len(t or "") if n <= limit else counter.longest(t, limit) for t, n in zip(texts, totals)]
+        totals, fits = [], []
+        for text in texts:
+            text = text or ""
+            table = counter.table(text)
+            totals.append(table[1][-1] if table[1] else 0)
+            fits.append(counter.longest(text, limit, table))
         return [pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
 
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())])
