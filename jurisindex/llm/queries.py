@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from jurisindex.catalog.registry import Query
-from jurisindex.llm import containment, lines, mixing, ordinal, rules, sharding, simhash, substring, tokens, urls
+from jurisindex.llm import (
+    alignment, circulant, containment, lines, mixing, ordinal, periodic, rules, sharding, simhash, substring, tokens, urls,
+)
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +83,22 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return ordinal.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.periodic_report(table(spark, sf, "documents"))
+
+
+@query()
+def op12_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return circulant.minhash_report(table(spark, sf, "documents"))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
