@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from jurisindex.llm.durable import durable
+from jurisindex.llm.texts import as_row
 from jurisindex.llm.words import Words, sliced, windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,20 +125,22 @@ def contaminations(docs: DataFrame, items: DataFrame, words: int = SHINGLE, thre
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = items.schema["item_id"].dataType.simpleString()
+    id_kind = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, key bigint, item_id {item_type}, n_shingles bigint, n_shared bigint, containment double"
     found = None
     for block in _blocks(items.where("text IS NOT NULL"), block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, threshold))
+        # As bytes that carry the class: a worker need not have this package.
+        sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(block, words, threshold)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = cloudpickle.loads(sent.value)
             for batch in sliced(batches):
                 rows, which, shared = index.contained(batch.column("text"))
                 sizes = [len(index.shingles[n][1]) for n in which]
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("key").take(at),
-                     pa.array([index.shingles[n][0] for n in which], pa.int64()), pa.array(sizes, pa.int64()),
+                     pa.array([index.shingles[n][0] for n in which], id_kind), pa.array(sizes, pa.int64()),
                      pa.array(shared, pa.int64()), pa.array([s / q for s, q in zip(shared, sizes)], pa.float64())],
                     names=["doc_id", "key", "item_id", "n_shingles", "n_shared", "containment"])
 
@@ -148,9 +152,9 @@ def contaminations(docs: DataFrame, items: DataFrame, words: int = SHINGLE, thre
 def without_contaminations(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that contain an item."""
     bad = durable(contaminations(docs, items, **options), "contaminations").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(bad, ["_id", "_key"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        F.coalesce("doc_id", F.lit(0)).alias("id"), "key").distinct()
+    keyed = docs.select(as_row(docs), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    return keyed.join(bad, ["id", "key"], "left_anti").select("row.*")
 
 
 def containment_report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from jurisindex.functions.binding import let
 from jurisindex.llm.durable import durable
-from jurisindex.llm.texts import WORD
+from jurisindex.llm.texts import WORD, as_row
 
 RUN = 3
 
@@ -72,21 +72,21 @@ def without_later_runs(docs: DataFrame, run: int = RUN, text: str = "text") -> D
     the new ones are replaced.
     """
     new = ("n_lines", "n_removed", "kept_text")
-    body = F.col(f"`{text}`")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new],
-                        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("_th"))
+    body = F.col("body")
+    keyed = docs.select(as_row(docs, new), F.col(f"`{text}`").alias("body"), "doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"),
+                        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"))
     hashes = F.transform(F.filter(_line_array(body), lambda x: x.rlike(WORD)), _hash)
     hashed = durable(
-        keyed.select("doc_id", F.col("_id").alias("id"), F.col("_th").alias("th"), hashes.alias("hashes")).where(
+        keyed.select("doc_id", "id", "th", hashes.alias("hashes")).where(
             F.size("hashes") >= run).dropDuplicates(["doc_id", "id", "th"]), "lines")
-    starts = later_runs(hashed, run).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
+    starts = later_runs(hashed, run)
 
     def kept(lines: Column) -> Column:
         none = F.array().cast("array<int>")
         places = F.sequence(F.lit(0), F.size(lines) - 1)
 
         def parted(worded: Column) -> Column:
-            covered = F.flatten(F.transform(F.coalesce("_starts", none), lambda s: F.slice(worded, s + 1, F.lit(run))))
+            covered = F.flatten(F.transform(F.coalesce("starts", none), lambda s: F.slice(worded, s + 1, F.lit(run))))
 
             def result(gone: Column) -> Column:
                 stay = F.transform(F.array_except(places, gone), lambda i: F.get(lines, i))
@@ -97,9 +97,8 @@ def without_later_runs(docs: DataFrame, run: int = RUN, text: str = "text") -> D
 
         return let(F.filter(places, lambda i: F.get(lines, i).rlike(WORD)), parted)
 
-    joined = keyed.join(starts, ["_id", "_th"], "left")
-    return joined.withColumn("_kept", let(_line_array(body), kept)).select(
-        *[f"`{c}`" for c in docs.columns if c not in new], "_kept.*")
+    joined = keyed.join(starts, ["id", "th"], "left")
+    return joined.select("row", let(_line_array(body), kept).alias("kept")).select("row.*", "kept.*")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jurisindex.llm.durable import durable
-from jurisindex.llm.texts import source_key, word_count
+from jurisindex.llm.texts import as_row, source_key, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -177,14 +177,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that agree in id and text share their copies.
     """
     copies = mixed_sizes(durable(sizes_of(docs), "sizes"), **options)
-    per_key = copies.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_key", F.xxhash64("doc_id", "text"))
-    own = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    counted = keyed.join(per_key, ["_id", "_key"]).withColumn("_own", own)
-    times = F.expr("int(_copies div _rows + CASE WHEN _own <= _copies % _rows THEN 1 ELSE 0 END)")
-    return counted.withColumn("_times", times).where("_times > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+    per_key = copies.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "key").agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    keyed = docs.select(as_row(docs), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("key"))
+    own = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    counted = keyed.join(per_key, ["id", "key"]).withColumn("own", own)
+    times = F.expr("int(copies div rows + CASE WHEN own <= copies % rows THEN 1 ELSE 0 END)")
+    return counted.withColumn("times", times).where("times > 0").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def mixed_report(docs: DataFrame, **options) -> DataFrame:

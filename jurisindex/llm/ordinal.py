@@ -144,11 +144,12 @@ def scored(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFram
     if model is None or not len(model.thresholds):
         null = F.lit(None).cast("double")
         return own.select("*", null.alias("expected_grade"), null.alias("p_top"), F.lit(True).alias("kept"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.numbers, model.weights, model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_model = Model(*sent.value)
         for batch in sliced(batches):
-            chances = sent.value.chances(*features(batch.column("text")))
+            chances = sent_model.chances(*features(batch.column("text")))
             columns = [pa.array(chances.sum(axis=1)), pa.array(chances[:, -1]), pa.array(chances[:, -1] >= keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.functions.binding import let
-from jurisindex.llm.texts import WORD, word_array
+from jurisindex.llm.texts import WORD, as_row, word_array
 
 SYMBOLS = "#*$%&|<>"
 # Common words of the four languages, by language.
@@ -112,15 +112,20 @@ def passes(m: Column, rule: Rule) -> Column:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """`docs` with the struct `measures` and the array `failed` of the names of the rules not met."""
+    """`docs` with the struct `measures` and the array `failed` of the names of the rules not met.
+
+    A null text is an empty one, and a rule whose divisor is 0 is met.  Texts of any length are measured whole;
+    repeated rows each get theirs, an empty table gives no rows.  Columns of `docs` with the names of the new
+    ones, in any case, are replaced.
+    """
 
     def verdict(m: Column) -> Column:
         failed = F.array_compact(F.array(*[F.when(~passes(m, r), F.lit(r.name)) for r in rules]))
         return F.struct(m.alias("measures"), failed.alias("failed"))
 
     # One bound struct: neither field makes the measures again.
-    found = docs.withColumn("_judged", let(measures(F.col(f"`{text}`")), verdict))
-    return found.select(*[f"`{c}`" for c in docs.columns if c not in ("measures", "failed")], "_judged.*")
+    found = docs.select(as_row(docs, ("measures", "failed")), let(measures(F.col(f"`{text}`")), verdict).alias("judged"))
+    return found.select("row.*", "judged.*")
 
 
 def rule_report(docs: DataFrame) -> DataFrame:

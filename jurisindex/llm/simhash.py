@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from jurisindex.llm.components import components
 from jurisindex.llm.durable import durable
 from jurisindex.llm.gray_index import links
+from jurisindex.llm.texts import as_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -129,11 +130,10 @@ def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     # Components without any doc_id are told apart by their codes, which all are the same text's or near it.
     group = [F.coalesce("component_id", F.lit(0)), F.col("component_id").isNull(), F.when(F.col("component_id").isNull(), F.col("code"))]
     chosen = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min(order).alias("o"))
-    chosen = chosen.select(F.col("o.id").alias("_id"), F.col("o.key").alias("_key")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    own = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return keyed.join(chosen, ["_id", "_key"], "left_semi").withColumn("_own", own).where("_own = 1").select(
-        *[f"`{c}`" for c in docs.columns])
+    chosen = chosen.select("o.id", "o.key").distinct()
+    keyed = docs.select(as_row(docs), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    own = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    return keyed.join(chosen, ["id", "key"], "left_semi").withColumn("own", own).where("own = 1").select("row.*")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.functions.binding import let
@@ -26,6 +26,14 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
+def as_row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of `docs` as the struct `row`, so that no name of theirs meets one of a step.
+
+    Those named in `but`, in any case, are left out.
+    """
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in but]).alias("row")
+
+
 def source_key(source: Column) -> Column:
     """A name of a source that is never null: null is a source of its own."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
