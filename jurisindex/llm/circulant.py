@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 4
 #: Hashes of sets that a task holds at a time.
 HELD = 1 << 18
+#: The size of the bitmap that texts are looked up in before they are shuffled: 4 MB.
+FILTER_BITS = 25
 #: An odd distance between the shifts of neighbouring coordinates, and the first permutation's constants.
 SHIFT = 0x9E3779B97F4A7C15
 SPREAD, TURN = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -117,10 +119,27 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _wanted(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(key, hashes) of the texts of `keys`, one document for each, written to the shared folder."""
-    texts = docs.select(text_key().alias("key"), "text").join(keys.select("key").distinct(), "key", "left_semi")
-    return durable(shingle_sets(texts.groupBy("key").agg(F.first("text").alias("text")), words), "shingles")
+def _maybe(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """`rows` without most of those whose long `name` is not in `wanted`; none that is in it is lost.
+
+    `wanted` is sent as a bitmap of 2 ** FILTER_BITS bits at most, whatever its size.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << FILTER_BITS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place(F.col(name))).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col(name)))).alias("bits"))
+    at = F.bitmap_bit_position(place(F.col(name)))
+    octet = F.conv(F.hex(F.substring("bits", F.floor(at / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(maps.withColumnRenamed("bucket", "own")), F.bitmap_bucket_number(place(F.col(name))) == F.col("own"))
+    return near.where(F.getbit(octet, (at % 8).cast("int")) == 1).drop("own", "bits")
+
+
+def _wanted(keys: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(key, hashes) of the texts of `keys`, read from one document of each, written to the shared folder."""
+    mark = F.xxhash64("key", "doc_id")
+    chosen = durable(nodes.join(keys.select("key").distinct(), "key", "left_semi").select("key", mark.alias("mark")), "wanted")
+    texts = _maybe(docs.select(text_key().alias("key"), "doc_id", "text").withColumn("mark", mark), chosen, "mark")
+    one = texts.join(chosen, ["key", "mark"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return durable(shingle_sets(one, words), "shingles")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,10 +160,13 @@ def _still_open(marks: DataFrame, firsts: DataFrame, united: DataFrame) -> DataF
 
 
 def _unsettled(tokens: DataFrame, percent: int) -> DataFrame:
-    """`tokens` (key, n, root, h) of the texts that share enough shingles with texts of other components."""
+    """`tokens` (key, n, root, h) of the texts that share enough shingles with texts of other components.
+
+    `most` is how many they share with them all, so with any one at most.
+    """
     shared = tokens.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    enough = tokens.join(shared, "h", "left_semi").groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return tokens.join(enough.where(100 * F.col("shared") >= percent * F.col("n")).select("key"), "key", "left_semi")
+    enough = tokens.join(shared, "h", "left_semi").groupBy("key").agg(F.count("*").alias("most"))
+    return tokens.drop("most").join(enough, "key").where(100 * F.col("most") >= percent * F.col("n"))
 
 
 def _rarest_pairs(tokens: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +178,12 @@ def _rarest_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     # Of n shingles a partner has percent * n or more, so it has one of any n - ceil(percent * n) + 1.
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = tokens.join(known, "h").withColumn("place", place).where(F.col("place") <= lacking).where("shared")
-    left, right = (rare.select("h", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    meet = left.join(right, "h").where("ra <> rb AND a < b").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
+    left, right = (rare.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "root", "most")]).withColumnRenamed(
+        f"key_{k}", k) for k in "ab")
+    # What both share is at most the lesser `most`, and all that either has is at least the rest.
+    both = F.least("most_a", "most_b")
+    meet = left.join(right, "h").where("root_a <> root_b AND a < b").where(
+        100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
     return meet.select("a", "b").distinct()
 
 
@@ -173,7 +199,7 @@ def near_texts(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, ba
     docs = docs.select("doc_id", "text")
     found = durable(sketches(docs, words, bands, rows), "sketches")
     nodes = found.where("n > 0").groupBy("key").agg(
-        F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     marks = durable(nodes.select("key", "n", "copies", F.posexplode("bands").alias("band", "h")), "marks")
     # A bucket's first text is the one with the most copies.
     own = F.struct((-F.col("copies")).alias("rank"), "key", "n")
@@ -181,11 +207,11 @@ def near_texts(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, ba
     stars = marks.join(firsts, ["band", "h"]).where("key <> first.key").where(
         _sizes_fit(F.col("n"), F.col("first.n"), percent)).select(F.col("key").alias("a"), F.col("first.key").alias("b"))
     stars = durable(stars.distinct(), "stars")
-    sets = _wanted(stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))), docs, words)
+    sets = _wanted(stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))), nodes, docs, words)
     links = durable(_linked(stars, sets, percent), "links")
 
     open_ = durable(_still_open(marks, firsts, _roots(links)), "open")
-    more = _wanted(open_, docs, words)
+    more = _wanted(open_, nodes, docs, words)
     tokens = durable(open_.join(more, "key").select("key", "n", "root", F.explode("hashes").alias("h")), "tokens")
     for _ in range(2):
         tokens = durable(_unsettled(tokens, percent), "tokens")
