@@ -10,7 +10,8 @@ are held against one of them, the one with the most exact copies, by their whole
 this leaves in different components are still open.  An open text can only link to one that shares enough
 shingles with it: those whose shingles occur too seldom in other components are settled, and with them
 usually the whole bucket.  What is left over is joined on its rarest shingles, as many as a partner cannot lack
-all of, and compared exactly.  Nothing is dropped by chance after the banding.
+all of, where those that may be common behind them still allow a link, and compared exactly.  Nothing is
+dropped by chance after the banding.
 """
 
 from __future__ import annotations
@@ -178,10 +179,10 @@ def _rarest_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     # Of n shingles a partner has percent * n or more, so it has one of any n - ceil(percent * n) + 1.
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = tokens.join(known, "h").withColumn("place", place).where(F.col("place") <= lacking).where("shared")
-    left, right = (rare.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "root", "most")]).withColumnRenamed(
+    left, right = (rare.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "root", "most", "place")]).withColumnRenamed(
         f"key_{k}", k) for k in "ab")
-    # What both share is at most the lesser `most`, and all that either has is at least the rest.
-    both = F.least("most_a", "most_b")
+    # Where this is the rarest shingle that both have, all others that both have stand behind it.
+    both = F.least("most_a", "most_b", F.col("n_a") - F.col("place_a") + 1, F.col("n_b") - F.col("place_b") + 1)
     meet = left.join(right, "h").where("root_a <> root_b AND a < b").where(
         100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
     return meet.select("a", "b").distinct()
