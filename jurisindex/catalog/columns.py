@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.catalog.fixture import DEC, STORE, decisions, store, table
@@ -272,13 +275,14 @@ def search6_prepared(spark, sf):
     return search.search6_folded(prepared, "CASACIÓN").select(*_SEARCHED.split(", "))
 
 
-@query("store_search", STORE + f"""
-SELECT {_SEARCHED}, first_seen FROM store WHERE ano = 1996
+@query("store_search", DEC + f"""
+SELECT {_SEARCHED}, arrival AS first_seen FROM dec WHERE ano = 1996
 AND {_LIKE_ASCII.format(c='sala')} '%penal%'
-AND ({" OR ".join(_LIKE_ASCII.format(c=c) + "'%fi_ma%nica%'" for c in P.FIELDS6)})""")
+AND ({" OR ".join(_LIKE_ASCII.format(c=c) + "'%d_recho%n_1%'" for c in P.FIELDS6)})""")
 def store_search(spark, sf):
-    found = search.store_search(store(spark, sf), " Fi_ma%NICA ", "Penal", 1996)
-    return found.select(*_SEARCHED.split(", "), "first_seen")
+    """All versions of the decisions, as a store that keeps each."""
+    versions = decisions(spark, sf).withColumnRenamed("arrival", "first_seen")
+    return search.store_search(versions, " D_recho%N_1 ", "Penal", 1996).select(*_SEARCHED.split(", "), "first_seen")
 
 
 @query("filter_sala_alias", DEC + f"""
@@ -294,40 +298,43 @@ def sala_plain(spark, sf):
     return P.keep(decisions(spark, sf), P.sala_plain("spa")).select("arrival", "sala")
 
 
-_FACETS = STORE + f"""
-SELECT {_SEARCHED} FROM store WHERE contains(lower(sala), 'sala de casación civil')
-AND contains(lower(fecha), 'agosto') AND {_any(P.FIELDS6, "contains(lower({c}), 'digital')")}"""
+_FACETS = DEC + f"""
+SELECT {_SEARCHED} FROM dec WHERE contains(lower(sala), 'sala de casación civil')
+AND contains(lower(fecha), 'agosto') AND {_any(P.FIELDS6, "contains(lower({c}), 'nation_1')")}"""
 
 
 @query("faceted_search", _FACETS)
 def faceted(spark, sf):
-    found = search.faceted_search(store(spark, sf), "scc", "agosto", "digital")
+    found = search.faceted_search(decisions(spark, sf), "scc", "agosto", "nation_1")
     return found.select(*_SEARCHED.split(", "))
 
 
 @query("faceted_count", f"SELECT count(*) AS total FROM ({_FACETS})")
 def faceted_count(spark, sf):
-    return search.faceted_count(store(spark, sf), sala="casacion_civil", mes="agosto", q="digital")
+    return search.faceted_count(decisions(spark, sf), sala="casacion_civil", mes="agosto", q="NATION_1")
 
 
+_MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio")
 _FOLDED_FACETS = f"""
 WHERE (contains({_fold('sala')}, 'penal') OR contains({_fold('sala')}, 'scp'))
-AND contains({_fold('fecha')}, 'marzo')
-AND ({" OR ".join(f"contains({_fold(c)}, 'electronica')" for c in P.FIELDS6)})"""
+AND ({" OR ".join(f"contains({_fold(c)}, '{{q}}')" for c in P.FIELDS6)})"""
 
 
-@query("faceted_search_folded", STORE + f"SELECT {_SEARCHED} FROM store {_FOLDED_FACETS}")
+@query("faceted_search_folded", DEC + f"""
+SELECT {_SEARCHED} FROM dec {_FOLDED_FACETS.format(q='cion')} AND ({" OR ".join(f"contains(lower(fecha), '{m}')" for m in _MONTHS)})""")
 def faceted_folded(spark, sf):
-    found = search.faceted_search(store(spark, sf), "casacion_penal", "marzo", "electronica", folded=True)
-    return found.select(*_SEARCHED.split(", "))
+    """The keyword is found in letters with and without marks, in each of half a year's months."""
+    dec = decisions(spark, sf)
+    parts = [search.faceted_search(dec, "casacion_penal", mes, "CIÓN", folded=True) for mes in _MONTHS]
+    return reduce(DataFrame.unionByName, parts).select(*_SEARCHED.split(", "))
 
 
 @query("flagship", STORE + f"""
 SELECT 'Sala ' || replace(replace(sala, 'Sala de ', ''), 'Sala ', '') AS sala, numero_sentencia, expediente,
-  fecha, tema, materia, asunto, extracto, link_directo FROM store {_FOLDED_FACETS}""")
+  fecha, tema, materia, asunto, extracto, link_directo FROM store {_FOLDED_FACETS.format(q='ea')}""")
 def flagship(spark, sf):
     """Upsert, folded faceted search, and the decision matrix of what it finds."""
-    found = search.faceted_search(store(spark, sf), "casacion_penal", "marzo", "electronica", folded=True)
+    found = search.faceted_search(store(spark, sf), "casacion_penal", q="ÉA", folded=True)
     return export_matrix(found)
 
 

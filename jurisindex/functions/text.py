@@ -49,6 +49,7 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text(c), WHITESPACE_RUN, " "))
 
 
+_APART = "\uffff"  # no letter; a text that has it is read letter by letter too
 _HANGUL = range(0xAC00, 0xD7A4)  # decomposed by the rule of their code points
 
 
@@ -83,13 +84,12 @@ def _hangul_parts(letter: Column) -> Column:
 
 
 def _decomposed(c: Column) -> Column:
-    """Letters that are several characters apart, such as Hangul syllables and voiced kana; few texts have any."""
-    several = _fold_alphabet()[2]
+    """Letters that are several characters apart, such as Hangul syllables and voiced kana."""
     hangul = f"[{chr(_HANGUL.start)}-{chr(_HANGUL.stop - 1)}]"
-    parts = text_map(several)
+    parts = text_map(_fold_alphabet()[2])
     taken = F.transform(
         F.split(c, ""), lambda ch: F.when(ch.rlike(hangul), _hangul_parts(ch)).otherwise(F.coalesce(parts[ch], ch)))
-    return F.when(c.rlike(hangul + "|[" + "".join(several) + "]"), F.array_join(taken, "")).otherwise(c)
+    return F.array_join(taken, "")
 
 
 def fold_value(value: str | None) -> str:
@@ -101,12 +101,17 @@ def fold(c: Column | str) -> Column:
     """Accent- and case-insensitive form of a text; null becomes ''.
 
     One `translate` pass replaces accented letters and deletes combining marks, which have
-    no counterpart in the shorter target alphabet.  Plain ASCII texts skip it.
+    no counterpart in the shorter target alphabet.  The same pass puts a sign in place of letters that
+    are several characters apart; only texts with the sign, very few, are read letter by letter.  Plain
+    ASCII texts skip it all.
     """
-    source, target, _ = _fold_alphabet()
+    source, target, several = _fold_alphabet()
     c = text(c)
     is_ascii = F.octet_length(c) == F.char_length(c)
-    plain = let(F.translate(_decomposed(c), source + _MARKS, target), strip)
+    apart = "".join(several) + "".join(map(chr, _HANGUL))
+    signed = F.translate(c, source + apart + _MARKS, target + _APART * len(apart))
+    slow = F.translate(_decomposed(c), source + _MARKS, target)
+    plain = let(let(signed, lambda t: F.when(t.contains(_APART), slow).otherwise(t)), strip)
     return F.lower(F.when(is_ascii, strip(c)).otherwise(plain))
 
 
