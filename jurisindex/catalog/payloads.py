@@ -155,13 +155,26 @@ def sections(spark, sf):
 _KEYWORD_TEMA = " OR ".join(f"contains(lower(tema), '{k}')" for k in TECH_KEYWORDS)
 
 
-@query("topic_scan", PAGED + f"""
-, listed AS (SELECT * FROM paged WHERE pos < 3),
+_TOPICS = f"""
 newest AS (SELECT link_directo, arg_max(tema, arrival) AS tema FROM dec GROUP BY link_directo)
 SELECT l.resp_id, l.sala_key, l.link_directo AS url, n.tema AS asunto, 'Tecnología & Pruebas Digitales' AS categoria
-FROM listed l JOIN newest n ON n.link_directo = l.link_directo WHERE {_KEYWORD_TEMA.replace('tema', 'n.tema')}""")
+FROM listed l JOIN newest n ON n.link_directo = l.link_directo WHERE {_KEYWORD_TEMA.replace('tema', 'n.tema')}"""
+
+
+@query("topic_scan", PAGED + ", listed AS (SELECT * FROM paged WHERE pos < 3)," + _TOPICS)
 def topics(spark, sf):
     """Listings name up to three decisions each; their pages are opened and filtered by topic."""
+    return _topics(spark, sf)
+
+
+@query("topic_scan_by_sala", PAGED + ", listed AS (SELECT * FROM paged "
+       "QUALIFY row_number() OVER (PARTITION BY sala_key ORDER BY resp_id, pos) <= 12)," + _TOPICS)
+def topics_by_sala(spark, sf):
+    """The same for the first links of every chamber, over all its listings."""
+    return _topics(spark, sf, per_sala=12)
+
+
+def _topics(spark, sf, **limits):
     dec = decisions(spark, sf)
     item = lambda r: F.concat(F.lit('<p><a href="'), r["link_directo"], F.lit('">x</a></p>'))
     listings = grouped(dec).select(
@@ -172,7 +185,7 @@ def topics(spark, sf):
           for c in ("arrival", "sala_key", "sala", "numero_sentencia", "expediente", "fecha", "tema")]
     )
     found = topic_scan(listings, decision_pages(newest).select("url", "html"),
-                       "https://historico.example.org/decisiones/", "01 de enero de 2026")
+                       "https://historico.example.org/decisiones/", "01 de enero de 2026", **limits)
     asunto = F.regexp_extract("texto_completo", "Asunto & (.*)$", 1)
     return found.select(
         F.col("sala").cast("bigint").alias("resp_id"), "sala_key", "url", asunto.alias("asunto"), "categoria"

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.catalog.fixture import DEC, STORE, decisions, single_responses, store
 from jurisindex.catalog.fixture import HOSTS
 from jurisindex.catalog.registry import query
 from jurisindex.functions.constants import MATRIX_HEADERS, TECH_KEYWORDS
-from jurisindex.operators.export import export_matrix, write_csv, write_json, write_matrix
+from jurisindex.operators.export import (
+    FORMATS, catalog_total, export, export_matrix, summary_catalog, write_csv, write_json, write_matrix,
+)
 from jurisindex.operators.search import tech_filter
 from jurisindex.operators.stats import stats_all
-from jurisindex.operators.saved_store import compact, read_store, save_batch
+from jurisindex.operators.health import stores_with_errors
+from jurisindex.operators.saved_store import committed, compact, read_store, run_counts, save_batch
 from jurisindex.operators.upsert import save_counts, split_rejects, upsert, write_defaults
-from jurisindex.plans.sync import captured_decisions, sync_batch
+from jurisindex.plans.sync import captured_decisions, save_checked, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.sources.storage import new_folder
+from jurisindex.streaming.counts import follow_store, followed_counts
 from jurisindex.streaming.stream import stream_counts, sync_stream
 
 _COLUMNS = ("link_directo, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema, materia, asunto, extracto, "
@@ -98,6 +105,33 @@ def saved_store(spark, sf):
     return read_store(spark, path).select(*_COLUMNS.split(", "))
 
 
+def broken_store(spark, sf):
+    """The path of a saved store of two batches; one chamber has a file that is cut off, one a year that is text."""
+    path = new_folder(spark, "broken-store")
+    accepted, _ = split_rejects(write_defaults(decisions(spark, sf)))
+    for part in (0, 1):
+        save_batch(accepted.where(F.pmod(F.hash("arrival"), F.lit(2)) == part), path, "2026-01-01 00:00:00")
+    lote = f"{path}/data/lote={committed(spark, path)[0][0]}"
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{lote}/sala_key=plena")
+    start = whole.select(F.substring("content", 1, 1000).alias("start")).first().start
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{lote}/sala_key=plena/part-cut.parquet")
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(start)
+    out.close()
+    electoral = spark.read.parquet(f"{lote}/sala_key=electoral")
+    electoral.withColumn("ano", F.col("ano").cast("string")).write.mode("append").parquet(f"{lote}/sala_key=electoral")
+    return path
+
+
+@query("stores_with_errors", DEC + """
+, stores AS (SELECT 'sala_' || sala_key AS almacen, count(DISTINCT link_directo) AS n FROM dec GROUP BY sala_key)
+SELECT almacen, CASE WHEN almacen IN ('sala_plena', 'sala_electoral') THEN 0 ELSE n END AS total_registros,
+  CASE almacen WHEN 'sala_plena' THEN 'ilegible' WHEN 'sala_electoral' THEN 'ano es string' END AS error FROM stores""")
+def errors_of_stores(spark, sf):
+    """Counts of the chambers' stores; a broken store gives a row with its error, the others are counted."""
+    return stores_with_errors(spark, broken_store(spark, sf))
+
+
 # --- exports -------------------------------------------------------------------------------
 
 _PLAIN = "arrival, sala_key, sala, numero_sentencia, expediente, fecha, ano, tema, materia, asunto, extracto, ponente"
@@ -140,6 +174,57 @@ def tech_report(spark, sf):
     return export_matrix(tech_filter(dec))
 
 
+_REPORT = DEC + ", hits AS (SELECT * FROM dec WHERE " + " OR ".join(
+    f"contains(lower(tema || ' ' || extracto), '{k}')" for k in TECH_KEYWORDS) + ")"
+_SHORT = "replace(replace(sala, 'Sala de ', ''), 'Sala ', '')"
+
+
+def _report(spark, sf):
+    dec = decisions(spark, sf).withColumn("texto_completo", F.concat_ws(" ", "tema", "extracto"))
+    return tech_filter(dec).drop("texto_completo", "arrival")
+
+
+def _read_export(spark, formato, path):
+    if formato == "json":
+        return spark.read.schema(_READ).json(path)
+    read = spark.read.csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
+                          ignoreTrailingWhiteSpace=False)
+    return read.withColumnsRenamed({header: name for name, header in MATRIX_HEADERS.items()}) if formato == "matriz" else read
+
+
+@query("tech_report_formats", _REPORT + f"""
+SELECT 'json' AS formato, sala, numero_sentencia, expediente, fecha, asunto FROM hits
+UNION ALL SELECT 'csv', sala, numero_sentencia, expediente, fecha, asunto FROM hits
+UNION ALL SELECT 'matriz', 'Sala ' || {_SHORT}, numero_sentencia, expediente, fecha, asunto FROM hits
+UNION ALL SELECT 'catalogo', {_SHORT}, numero_sentencia, expediente, fecha, substr(asunto, 1, 75) FROM hits""")
+def tech_report_formats(spark, sf):
+    """The consolidated report on digital evidence in all its formats, as they are read again."""
+    written = export(_report(spark, sf), new_folder(spark, "report"), "all")
+    columns = ["sala", "numero_sentencia", "expediente", "fecha", "asunto"]
+    parts = [_read_export(spark, formato, path).select(F.lit(formato).alias("formato"), *columns) for formato, path in written.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("catalog_total", _REPORT + "SELECT count(*) AS total FROM hits")
+def total_of_catalog(spark, sf):
+    return catalog_total(summary_catalog(_report(spark, sf)))
+
+
+@query("export_formats", _REPORT + """
+, asked(formato, escrito) AS (VALUES ('json', 'json'), ('excel', 'matriz'), ('xlsx', 'matriz'), ('csv', 'csv'), ('pdf', 'catalogo'),
+  ('all', 'json'), ('all', 'matriz'), ('all', 'csv'), ('all', 'catalogo'))
+SELECT formato, escrito, count(*) AS n FROM asked, hits GROUP BY ALL""")
+def export_formats(spark, sf):
+    """What each choice of a format writes, with the number of rows that are read again."""
+    found = _report(spark, sf)
+    counted = []
+    for formato in FORMATS:
+        written = export(found, new_folder(spark, "formats"), formato.upper())
+        counted += [_read_export(spark, name, path).agg(F.lit(formato).alias("formato"), F.lit(name).alias("escrito"),
+                                                        F.count("*").alias("n")) for name, path in written.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # --- sync and streams ----------------------------------------------------------------------
 
 # Responses of one decision each: arrivals are shifted by the position, table rows tell less.
@@ -212,6 +297,43 @@ def stream_stats(spark, sf):
     return stats_all(_streamed_store(spark, sf))
 
 
+_FOLLOWED = DEC + """
+, store AS (SELECT sala_key, arg_max(sala, arrival) AS sala, arg_max(ano, arrival) AS ano FROM dec
+  GROUP BY sala_key, link_directo)
+"""
+
+
+@query("stream_store_counts", _FOLLOWED + "SELECT sala_key, sala, ano, count(*) AS n FROM store GROUP BY ALL")
+def counts_that_follow(spark, sf):
+    """Counts of the store after three micro-batches; later versions of a link take its earlier year back."""
+    written = new_folder(spark, "decisions")
+    dec = decisions(spark, sf).select("arrival", "sala_key", "sala", "ano", "link_directo")
+    # Versions of a link are dealt over all files, so that no batch has them in order.
+    third = _write_files(dec.repartition(12, F.hash("arrival")), written)
+    source = spark.readStream.schema(dec.schema).option("maxFilesPerTrigger", third).parquet(written)
+    path = new_folder(spark, "counts")
+    follow_store(source, path, new_folder(spark, "progress")).awaitTermination()
+    return followed_counts(spark, path)
+
+
+@query("saved_run_counts", DEC + """
+, runs AS (SELECT CASE WHEN tema LIKE '%igital%' THEN '2026-01-01' ELSE '2026-01-02' END AS dia, * FROM dec),
+counted AS (SELECT dia, count(*) AS capturadas, count(*) FILTER (tema NOT IN ('Nulidad', 'Competencia')) AS aceptadas,
+  count(*) FILTER (tema IN ('Nulidad', 'Competencia')) AS rechazadas,
+  count(DISTINCT CASE WHEN tema NOT IN ('Nulidad', 'Competencia') THEN sala_key || CASE WHEN tema = 'Amparo'
+    THEN 'https://historico.tsj.gob.ve' ELSE link_directo END END) AS filas FROM runs GROUP BY dia),
+chambers AS (SELECT dia, sala_key, count(*) AS n FROM runs WHERE tema NOT IN ('Nulidad', 'Competencia') GROUP BY ALL)
+SELECT dia, sala_key, n, capturadas, aceptadas, rechazadas, filas FROM counted JOIN chambers USING (dia)""")
+def saved_run_counts(spark, sf):
+    """What two runs saw and saved, as their commits say; the rows are read once, by the job that writes them."""
+    path, flawed = new_folder(spark, "saved-runs"), write_defaults(_flawed(spark, sf))
+    digital = F.col("tema").contains("igital")
+    save_checked(flawed.where(digital), path, "2026-01-01 00:00:00")
+    save_checked(flawed.where(~digital), path, "2026-01-02 00:00:00")
+    runs = run_counts(spark, path).withColumn("dia", F.date_format("fecha_escaneo", "yyyy-MM-dd"))
+    return runs.select("dia", F.explode("por_sala").alias("sala_key", "n"), "capturadas", "aceptadas", "rechazadas", "filas")
+
+
 @query("stream_counts", DEC + "SELECT sala, count(*) AS n FROM dec GROUP BY sala")
 def counts_of_stream(spark, sf):
     written = new_folder(spark, "decisions")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurisindex.catalog.fixture import DEC, HOSTS, STORE, decisions, single_responses, store, table
@@ -10,7 +13,7 @@ from jurisindex.functions.constants import MES_CHOICES, SALA_CHOICES, SEED_DECIS
 from jurisindex.operators import stats
 from jurisindex.operators.fallback import first_non_empty
 from jurisindex.operators.pages import (
-    first_links, first_links_by, limit_links, page_decisions, page_links, page_text, resolve_links,
+    first_links, first_links_by, limit_links, page_decisions, page_links, page_text, resolve_links, with_subject,
 )
 from jurisindex.operators.scan_plan import missing_scans, scan_plan
 from jurisindex.operators.search import newest_first
@@ -80,6 +83,12 @@ def stats_by_sala(spark, sf):
     return stats.stats_by_sala(store(spark, sf))
 
 
+@query("sala_ranking", STORE + """
+SELECT sala, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, sala) AS INT) AS puesto FROM store GROUP BY sala""")
+def sala_ranking(spark, sf):
+    return stats.sala_ranking(store(spark, sf))
+
+
 @query("stats_by_year", STORE + "SELECT ano, count(*) AS n FROM store GROUP BY ano")
 def stats_by_year(spark, sf):
     return stats.stats_by_year(store(spark, sf))
@@ -125,6 +134,24 @@ def fallback_chain(spark, sf):
     return first_non_empty([live, chamber, general, seed.withColumn("ano", F.col("ano").cast("int"))])
 
 
+@query("fallback_each_leg", DEC + f"""
+SELECT 'vivo' AS caso, count(*) AS n, min(link_directo) AS primero FROM dec WHERE ano = 1995
+UNION ALL SELECT 'sala', count(*), min(link_directo) FROM dec WHERE sala_key = 'plena'
+UNION ALL SELECT 'general', count(*), min(link_directo) FROM dec
+UNION ALL SELECT 'semilla', {len(SEED_DECISIONS)}, '{min(r["link_directo"] for r in SEED_DECISIONS)}'""")
+def fallback_each_leg(spark, sf):
+    """Each source answers once, when all before it hold nothing."""
+    dec = decisions(spark, sf).select("link_directo", "sala_key", "ano")
+    seed = spark.createDataFrame(SEED_DECISIONS).select("link_directo")
+    legs = {"vivo": dec.where("ano = 1995"), "sala": dec.where("sala_key = 'plena'"), "general": dec, "semilla": seed}
+    found = []
+    for n, caso in enumerate(legs):
+        empty = [leg.where(F.length("link_directo") < 0) for leg in list(legs.values())[:n]]
+        answer = first_non_empty([leg.select("link_directo") for leg in (*empty, *list(legs.values())[n:])])
+        found.append(answer.agg(F.lit(caso).alias("caso"), F.count("*").alias("n"), F.min("link_directo").alias("primero")))
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 _SHOWN = r"""
@@ -169,6 +196,15 @@ def decisions_of_pages(spark, sf):
     return page_decisions(table(spark, sf, "pages"), as_of="01 de enero de 2026")
 
 
+@query("page_subjects", f"""
+WITH {_PAGE_TEXT} SELECT page_id, url, CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '...' ELSE t END AS resumen,
+  substr(t, 1, 100) AS asunto FROM texts""")
+def subjects_of_pages(spark, sf):
+    """The start of a page's summary stands for its subject."""
+    found = with_subject(page_decisions(table(spark, sf, "pages"), as_of="01 de enero de 2026"))
+    return found.select("page_id", "url", "resumen", "asunto")
+
+
 _LINKS = """
 WITH clean AS (SELECT page_id, url, regexp_replace(html, '<!--.*?-->|<script.*?</script>', '', 'gsi') AS h FROM pages),
 listed AS (SELECT page_id, url, regexp_extract_all(h, '<a href="([^"]+)"', 1) AS l FROM clean),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from jurisindex.functions.constants import (
     HEADING_PATTERN, KEY_TERMS, NO_DOCKET, NO_JUDGE, NO_NUMBER, PAGE_PATTERNS, PAGE_SUBJECT_AREA,
-    PAGE_TOPIC, STRICT_PAGE_PATTERNS, SUMMARY_LENGTH,
+    PAGE_TOPIC, STRICT_PAGE_PATTERNS, SUBJECT_LENGTH, SUMMARY_LENGTH,
 )
 from jurisindex.functions.predicates import any_of
 from jurisindex.functions.markup import hrefs, visible_text, without_hidden
-from jurisindex.functions.text import clean_text, strip, summary, text
+from jurisindex.functions.text import clean_text, prefix, strip, summary, text
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -49,6 +49,11 @@ def page_decisions(pages: DataFrame, as_of: str, strict: bool = False, html: str
     )
 
 
+def with_subject(decisions: DataFrame) -> DataFrame:
+    """Page decisions with `asunto`: the start of their summary."""
+    return decisions.withColumn("asunto", prefix("resumen", SUBJECT_LENGTH))
+
+
 def _links(html: str, suffix: str | None) -> Column:
     links = hrefs(without_hidden(html))
     if suffix is None:
