@@ -139,7 +139,8 @@ def _wanted(keys: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> D
     mark = F.xxhash64("key", "doc_id")
     chosen = durable(nodes.join(keys.select("key").distinct(), "key", "left_semi").select("key", mark.alias("mark")), "wanted")
     texts = _maybe(docs.select(text_key().alias("key"), "doc_id", "text").withColumn("mark", mark), chosen, "mark")
-    one = texts.join(chosen, ["key", "mark"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # An inner join, with one row for each key: a semi join would be moved in front of the bitmap.
+    one = texts.join(chosen, ["key", "mark"]).groupBy("key").agg(F.first("text").alias("text"))
     return durable(shingle_sets(one, words), "shingles")
 
 
