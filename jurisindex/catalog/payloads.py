@@ -81,6 +81,22 @@ def html_rows(spark, sf):
     return html_decisions(row_responses(decisions(spark, sf)), HOSTS, HOSTS)
 
 
+@query("html_nested_rows", PAGED + """
+SELECT resp_id * 4294967296 + 2 * (pos + 1) AS arrival, sala_key, numero_sentencia, expediente, fecha, tema, 'ver' AS asunto,
+  link_directo FROM paged
+UNION ALL SELECT resp_id * 4294967296, sala_key, 'Listado', 'Nro' || string_agg(numero_sentencia || expediente || fecha || tema
+  || 'ver', '' ORDER BY pos), 'Nro', arg_min(numero_sentencia, pos), arg_min(expediente, pos) || ' ' || arg_min(fecha, pos) || ' '
+  || arg_min(tema, pos) || ' ver' || coalesce(' ' || string_agg(CASE WHEN pos > 0 THEN numero_sentencia || ' ' || expediente || ' '
+  || fecha || ' ' || tema || ' ver' END, ' ' ORDER BY pos), ''), arg_min(link_directo, pos)
+FROM paged GROUP BY resp_id, sala_key""")
+def html_nested_rows(spark, sf):
+    """Each response's table stands in a cell of another one: its rows are rows, and the outer row holds all their cells."""
+    pages = row_responses(decisions(spark, sf))
+    body = F.concat(F.lit("<table class='x'><tr><td>Listado <td>"), "body", F.lit("</td></tr></table>"))
+    found = html_decisions(pages.withColumn("body", body), HOSTS, HOSTS, nested=True)
+    return found.select("arrival", "sala_key", "numero_sentencia", "expediente", "fecha", "tema", "asunto", "link_directo")
+
+
 @query("html_anchor_decisions", PAGED + f"""
 SELECT {_ARRIVAL}, sala_key, sala, numero_sentencia, replace(expediente, '-', '/') AS expediente,
   {_LINK_DATE} || ' ' || {_LINK_YEAR} AS fecha, CAST({_LINK_YEAR} AS INT) AS ano, tema, 'Derecho' AS materia,

@@ -1,8 +1,8 @@
 r"""HTML column expressions, without a document tree.
 
 They read well-formed markup as court portals serve it: tags may be unclosed and attributes quoted
-either way or not at all, but tables must not be nested and attribute values before an `href` must
-not hold a bare '>'.  Work that needs an element's ancestors is in `operators.anchors`.
+either way or not at all, but attribute values before an `href` must not hold a bare '>'.  Tables in tables
+are read by `functions.nested`, other work that needs an element's ancestors by `operators.anchors`.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from jurisindex.functions import predicates as P
@@ -111,5 +111,31 @@ def decision_detail(store: DataFrame, link: str) -> DataFrame:
 
 
 def decision_at(result: DataFrame, position: int) -> DataFrame:
-    """Detail of the row at a position of an ordered result (a top-k, not a full sort)."""
+    """Detail of the row at a position of an ordered result: a top-k, for the first places of a result."""
     return detail_view(result.offset(position).limit(1))
+
+
+def newest_at(store: DataFrame, position: int, ranges: int = 256) -> DataFrame:
+    """The row at a place (from 0) of `newest_first`, however far down; no row beyond the end.
+
+    Rows are counted by year and, in the year that holds the place, by ranges of their arrival.  Only the
+    range with the place is sorted.  What comes to the driver is a count for each year and each range.
+    """
+    def placed(counts: list[Row], left: int) -> tuple[Row | None, int]:
+        for row in counts:
+            if left < row["count"]:
+                return row, left
+            left -= row["count"]
+        return None, left
+
+    years = store.groupBy("ano").count().orderBy(F.desc("ano")).collect()
+    year, left = placed(years, position)
+    if year is None:
+        return store.limit(0)
+    inside = store.where(F.col("ano").eqNullSafe(F.lit(year.ano)))
+    cuts = inside.agg(F.percentile_approx("first_seen", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
+    cuts = F.array(*[F.lit(c).cast(store.schema["first_seen"].dataType) for c in sorted(set(cuts))])
+    ranged = inside.withColumn("_rango", F.size(F.filter(cuts, lambda c: c < F.col("first_seen"))))
+    chosen, left = placed(ranged.groupBy("_rango").count().orderBy(F.desc("_rango")).collect(), left)
+    part = ranged.where(F.col("_rango") == chosen["_rango"]).drop("_rango")
+    return newest_first(part).offset(left).limit(1)
