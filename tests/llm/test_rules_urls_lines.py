@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from jurisindex.llm.lines import RUN, line_report, without_later_runs
+from jurisindex.llm.lines import RUN, WORDS, line_report, without_later_runs
 from jurisindex.llm.rules import RULES, Rule, judged, rule_report
 from jurisindex.llm.urls import filtered_urls, url_report
 
@@ -88,17 +88,27 @@ def test_odd_urls(spark):
     assert url_report(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def brute_lines(docs, run):
+def brute_windows(lines, run, words):
+    """(place, length) of the windows of a document: `run` lines or `words` words, or a short document as a whole."""
+    for k in range(len(lines)):
+        length = next((m for m in range(1, run) if k + m <= len(lines) and sum(len(WORD.findall(x)) for x in lines[k:k + m]) >= words), run)
+        if k + length <= len(lines):
+            yield k, length
+        elif k == 0:
+            yield 0, len(lines)
+
+
+def brute_lines(docs, run, words):
     """Removed raw line numbers of each document, by its number."""
     lines = [(t or "").split("\n") for _, t in docs]
     worded = [[i for i, x in enumerate(ls) if WORD.search(x)] for ls in lines]
     order = sorted(range(len(docs)), key=lambda d: (docs[d][0] is None, docs[d][0] or 0))
     seen, gone = {}, [set() for _ in docs]
     for d in order:
-        for k in range(len(worded[d]) - run + 1):
-            window = tuple(lines[d][i] for i in worded[d][k:k + run])
+        for k, length in brute_windows([lines[d][i] for i in worded[d]], run, words):
+            window = tuple(lines[d][i] for i in worded[d][k:k + length])
             if seen.setdefault(window, (d, k)) != (d, k):
-                gone[d].update(worded[d][k:k + run])
+                gone[d].update(worded[d][k:k + length])
     return [(len(w), len(g), "\n".join(x for i, x in enumerate(ls) if i not in g)) for w, g, ls in zip(worded, gone, lines)]
 
 
@@ -106,10 +116,14 @@ def test_line_runs_against_brute_force(spark):
     rng = random.Random(4)
     docs = [(n, "\n".join(rng.choice("aabbcdef ") for _ in range(rng.randrange(0, 14)))) for n in range(60)]
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, "long " * 9000 + "\nb\nc\n\nd"), (104, "x\nlong\nb\n \nc\nd"), (None, "a\na\na\na\na")]
+    half, full = "w " * 25 + "é", "w " * 50
+    docs += [(110, f"p\n{full}\nq"), (111, f"r\ns\nt\n{full}\nu"), (112, f"p\n{half}\n\n{half}\nv"), (113, f"u\n{half}\n{half}"), (114, full)]
+    docs += [(120, "one"), (121, "one\n"), (122, "two\none"), (123, "two\n \none"), (124, "one\ntwo"), (125, "one\ntwo\nthree")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in without_later_runs(df).collect()}
+    assert [got[i].n_removed for i in (110, 111, 112, 113, 114, 120, 121, 122, 123, 124, 125)] == [0, 1, 0, 2, 1, 0, 1, 0, 2, 0, 0]
     digests = {r.doc_id: r.kept_sha256 for r in line_report(df).collect()}
-    for (i, t), (n, removed, kept) in zip(docs, brute_lines(docs, RUN)):
+    for (i, t), (n, removed, kept) in zip(docs, brute_lines(docs, RUN, WORDS)):
         assert (got[i].n_lines, got[i].n_removed, got[i].kept_text) == (n, removed, None if t is None else kept), (i, t)
         assert digests[i] == hashlib.sha256(kept.encode()).hexdigest()
 
