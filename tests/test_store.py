@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 import uuid
 
 import pytest
@@ -12,10 +13,10 @@ from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
 from jurisindex.operators.stats import stats_total
 from jurisindex.operators.saved_store import (
-    committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, save_batch,
+    committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, run_counts, save_batch,
 )
 from jurisindex.operators.upsert import KEY, VALUES, checked, save_counts, split_rejects, upsert, write_defaults
-from jurisindex.plans.sync import captured_decisions, sync, sync_batch
+from jurisindex.plans.sync import captured_decisions, save_checked, sync, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.streaming.stream import sync_info, sync_stream
 
@@ -135,6 +136,62 @@ def test_a_batch_rewrites_nothing(spark, dec, tmp_path):
     assert before == {p: p.stat().st_mtime_ns for p in before} and len(before) < len([p for p in path.rglob("*") if p.is_file()])
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan_of(df):
+    df.collect()
+    return plan_of(df)
+
+
+def test_batches_are_merged_without_a_shuffle(spark, dec, whole, tmp_path):
+    path = str(tmp_path / "it's a store")
+    parts = [dec.where(f"pmod(hash(arrival), 5) = {i}") for i in (4, 2, 0, 1, 3)]
+    for part in parts:
+        save_batch(part, path, "2026-01-01 00:00:00", buckets=4)
+    found = read_store(spark, path)
+    assert "Exchange" not in final_plan_of(found) and rows(found) == whole
+    chamber = found.where("sala_key = 'plena'")
+    assert "Exchange" not in final_plan_of(chamber)
+    assert rows(chamber) == [r for r in whole if r[0] == "plena"]
+    assert "Exchange" not in final_plan_of(merged_by_link(found)) and rows(merged_by_link(found)) == whole
+    assert "extracto" not in final_plan_of(stats_total(found))
+    # A compaction into the same number, later batches on top of it, and what is covered gone.
+    compact(spark, path, files_per_chamber=4)
+    save_batch(parts[0], path, "2026-01-02 00:00:00", buckets=4)
+    save_batch(dec.where("arrival < 0"), path, "2026-01-02 00:00:00", buckets=4)
+    drop_covered(spark, path)
+    again = read_store(spark, path)
+    assert "Exchange" not in final_plan_of(again) and rows(again) == whole
+    # A batch of another number is merged all the same.
+    save_batch(parts[1], path, "2026-01-03 00:00:00", buckets=3)
+    mixed = read_store(spark, path)
+    assert "Exchange" in final_plan_of(mixed) and rows(mixed) == whole
+
+
+def test_a_compaction_into_the_same_buckets_shuffles_nothing(spark, dec, whole, tmp_path):
+    path = tmp_path / "store"
+    for part in (0, 1):
+        save_batch(dec.where(f"arrival % 2 = {part}"), str(path), "2026-01-01 00:00:00", buckets=4)
+    compact(spark, str(path), files_per_chamber=4)
+    name = committed(spark, str(path))[0][0]
+    folders = list((path / "data" / f"lote={name}").glob("sala_key=*"))
+    assert folders and all(len(list(f.glob("*.parquet"))) <= 4 for f in folders)
+    assert rows(read_store(spark, str(path))) == whole
+
+
+def test_a_copied_store_is_read_where_it_is(spark, dec, whole, tmp_path):
+    first, second = tmp_path / "first", tmp_path / "second"
+    for part in (0, 1):
+        save_batch(dec.where(f"arrival % 2 = {part}"), str(first), "2026-01-01 00:00:00")
+    before = read_store(spark, str(first)).count()
+    shutil.copytree(first, second)
+    save_batch(dec.limit(1).withColumn(KEY, F.lit("new")), str(second), "2026-01-02 00:00:00")
+    assert (read_store(spark, str(first)).count(), read_store(spark, str(second)).count()) == (before, before + 1)
+    assert rows(read_store(spark, str(first))) == whole
+
+
 def test_compaction_changes_no_row(spark, dec, whole, tmp_path):
     path = str(tmp_path / "store")
     assert read_store_if_any(spark, path) is None
@@ -251,3 +308,12 @@ def test_folders_are_unique(spark):
 
     a, b = new_folder(spark, "x"), new_folder(spark, "x")
     assert a != b and uuid.UUID(a[-32:])
+
+
+def test_a_run_without_accepted_rows_is_counted(spark, dec, tmp_path):
+    for name, batch, seen in (("none", dec.where("arrival < 0"), 0), ("rejected", dec.limit(7).withColumn("sala", F.lit(None).cast("string")), 7)):
+        path = str(tmp_path / name)
+        save_checked(write_defaults(batch), path, "2026-01-01 00:00:00")
+        run = run_counts(spark, path).first()
+        assert (run.capturadas, run.aceptadas, run.rechazadas, run.filas) == (seen, 0, seen, 0)
+        assert read_store(spark, path).count() == 0
