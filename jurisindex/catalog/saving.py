@@ -17,7 +17,7 @@ from jurisindex.operators.export import (
 from jurisindex.operators.search import tech_filter
 from jurisindex.operators.stats import stats_all
 from jurisindex.operators.health import stores_with_errors
-from jurisindex.operators.saved_store import committed, compact, read_store, run_counts, save_batch
+from jurisindex.operators.saved_store import committed, compact, merged_by_link, read_store, run_counts, save_batch
 from jurisindex.operators.upsert import save_counts, split_rejects, upsert, write_defaults
 from jurisindex.plans.sync import captured_decisions, save_checked, sync_batch
 from jurisindex.sources.captures import stream_responses
@@ -105,6 +105,18 @@ def saved_store(spark, sf):
     return read_store(spark, path).select(*_COLUMNS.split(", "))
 
 
+@query("merged_batches", STORE + f"SELECT {_COLUMNS} FROM store")
+def merged_batches(spark, sf):
+    """Five batches in buckets of the link, two of them compacted, merged to one row a link without a shuffle."""
+    path = new_folder(spark, "merged-batches")
+    accepted, _ = split_rejects(write_defaults(decisions(spark, sf).drop("ponente")))
+    for k in (4, 2, 0, 1, 3):
+        save_batch(accepted.where(F.pmod(F.hash("arrival"), F.lit(5)) == k), path, "2026-01-01 00:00:00", buckets=8)
+        if k == 2:
+            compact(spark, path, files_per_chamber=8)
+    return merged_by_link(read_store(spark, path)).select(*_COLUMNS.split(", "))
+
+
 def broken_store(spark, sf):
     """The path of a saved store of two batches; one chamber has a file that is cut off, one a year that is text."""
     path = new_folder(spark, "broken-store")
