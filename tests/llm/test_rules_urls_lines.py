@@ -88,6 +88,14 @@ def test_odd_urls(spark):
     assert url_report(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_verdicts_of_the_contract(spark):
+    rows = [(1, "http://example.org/en/1"), (2, "https://w.Example.org/en/19?x"), (3, "http://example.org/en/2"), (4, "http://example.org/es/1"),
+            (5, "http://a.com/fr/x"), (6, "http://a.com/de/x"), (7, "http://a.net/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_report(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("example.org/en/1", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("example.org/es/", "block"),
+                   5: ("com/fr/", "allow"), 6: ("com/de/", "block"), 7: (None, "allow")}
+
+
 def brute_windows(lines, run, words):
     """(place, length) of the windows of a document: `run` lines or `words` words, or a short document as a whole."""
     for k in range(len(lines)):
