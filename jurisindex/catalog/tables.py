@@ -75,23 +75,23 @@ def plan(spark, sf):
 
 @query("stats_total", STORE + "SELECT count(*) AS total FROM store")
 def stats_total(spark, sf):
-    return stats.stats_total(store(spark, sf))
+    return stats.stats_total(store(spark, sf, late=False))
 
 
 @query("stats_by_sala", STORE + "SELECT sala, count(*) AS n FROM store GROUP BY sala")
 def stats_by_sala(spark, sf):
-    return stats.stats_by_sala(store(spark, sf))
+    return stats.stats_by_sala(store(spark, sf, late=False))
 
 
 @query("sala_ranking", STORE + """
 SELECT sala, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, sala) AS INT) AS puesto FROM store GROUP BY sala""")
 def sala_ranking(spark, sf):
-    return stats.sala_ranking(store(spark, sf))
+    return stats.sala_ranking(store(spark, sf, late=False))
 
 
 @query("stats_by_year", STORE + "SELECT ano, count(*) AS n FROM store GROUP BY ano")
 def stats_by_year(spark, sf):
-    return stats.stats_by_year(store(spark, sf))
+    return stats.stats_by_year(store(spark, sf, late=False))
 
 
 @query("stats_all", STORE + """
@@ -99,7 +99,7 @@ SELECT 'total' AS dim, NULL AS clave, count(*) AS n FROM store
 UNION ALL SELECT 'sala', sala, count(*) FROM store GROUP BY sala
 UNION ALL SELECT 'ano', CAST(ano AS STRING), count(*) FROM store GROUP BY ano""")
 def stats_all(spark, sf):
-    return stats.stats_all(store(spark, sf))
+    return stats.stats_all(store(spark, sf, late=False))
 
 
 @query("store_stats", STORE + """
@@ -107,7 +107,7 @@ SELECT 'sala_' || sala_key AS almacen, 'total' AS dim, NULL AS clave, count(*) A
 UNION ALL SELECT 'sala_' || sala_key, 'sala', sala, count(*) FROM store GROUP BY sala_key, sala
 UNION ALL SELECT 'sala_' || sala_key, 'ano', CAST(ano AS STRING), count(*) FROM store GROUP BY sala_key, ano""")
 def store_stats(spark, sf):
-    return stats.store_stats(store(spark, sf))
+    return stats.store_stats(store(spark, sf, late=False))
 
 
 @query("capture_counts", DEC + """

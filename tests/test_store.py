@@ -77,6 +77,33 @@ def test_hot_link(spark):
     assert plan.index("partial_max_by") > plan.index("Exchange hashpartitioning(link_directo")
 
 
+def test_late_upsert(spark):
+    """The same rows as read once, with null keys and arrivals, rows twice and long values joined after the last versions are known."""
+    texts = spark.range(40).select(F.col("id").alias("t"), F.repeat(F.col("id").cast("string"), 50).alias("extracto"))
+    base = spark.range(400).select(
+        F.when(F.col("id") % 50 != 7, F.col("id")).alias("arrival"), (F.col("id") % 40).alias("t"), (F.col("id") % 3).cast("string").alias("sala_key"),
+        F.when(F.col("id") % 9 != 4, F.concat(F.lit("l"), F.col("id") % 27)).alias(KEY), F.when(F.col("id") % 4 > 0, F.col("id")).alias("tema"))
+    gone = base.where("arrival = 399").select(F.lit(None).cast("long").alias("arrival"), "t", "sala_key", F.lit("only").alias(KEY), "tema")
+    batch = base.unionByName(base).unionByName(gone).join(texts.hint("merge"), "t").drop("t")
+    for keys in ((KEY,), ("sala_key", KEY)):
+        late, once = upsert(None, batch, keys, late=True), upsert(None, batch, keys)
+        columns = [KEY, "sala_key", "tema", "extracto", "first_seen", "last_seen"]
+        found = [sorted(map(str, df.select(columns).collect())) for df in (late, once)]
+        assert found[0] == found[1] and len(found[0]) > 20
+    # Only the last versions are joined with their texts.
+    plan = upsert(None, batch, late=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
+
+
+def test_late_saves(spark, dec, whole, tmp_path):
+    path = str(tmp_path / "store")
+    for part in (1, 2, 0):
+        save_batch(dec.where(f"pmod(hash(arrival), 3) = {part}"), path, "2026-01-01 00:00:00", buckets=4, late=True)
+    found = read_store(spark, path)
+    assert "Exchange" not in final_plan_of(found) and rows(found) == whole
+    assert found.where("buscable IS NULL").count() == 0
+
+
 def test_counts_do_not_move_texts(dec):
     plan = stats_total(upsert(None, dec))._jdf.queryExecution().executedPlan().toString()
     assert "extracto" not in plan and "max_by" not in plan
