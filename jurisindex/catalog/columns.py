@@ -275,14 +275,12 @@ def search6_prepared(spark, sf):
     return search.search6_folded(prepared, "CASACIÓN").select(*_SEARCHED.split(", "))
 
 
-@query("store_search", DEC + f"""
-SELECT {_SEARCHED}, arrival AS first_seen FROM dec WHERE ano = 1996
+@query("store_search", STORE + f"""
+SELECT {_SEARCHED}, first_seen FROM store WHERE ano = 1996
 AND {_LIKE_ASCII.format(c='sala')} '%penal%'
 AND ({" OR ".join(_LIKE_ASCII.format(c=c) + "'%d_recho%n_1%'" for c in P.FIELDS6)})""")
 def store_search(spark, sf):
-    """All versions of the decisions, as a store that keeps each."""
-    versions = decisions(spark, sf).withColumnRenamed("arrival", "first_seen")
-    return search.store_search(versions, " D_recho%N_1 ", "Penal", 1996).select(*_SEARCHED.split(", "), "first_seen")
+    return search.store_search(store(spark, sf), " D_recho%N_1 ", "Penal", 1996).select(*_SEARCHED.split(", "), "first_seen")
 
 
 @query("filter_sala_alias", DEC + f"""
