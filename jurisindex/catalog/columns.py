@@ -296,20 +296,20 @@ def sala_plain(spark, sf):
     return P.keep(decisions(spark, sf), P.sala_plain("spa")).select("arrival", "sala")
 
 
-_FACETS = DEC + f"""
-SELECT {_SEARCHED} FROM dec WHERE contains(lower(sala), 'sala de casación civil')
+_FACETS = STORE + f"""
+SELECT {_SEARCHED} FROM store WHERE contains(lower(sala), 'sala de casación civil')
 AND contains(lower(fecha), 'agosto') AND {_any(P.FIELDS6, "contains(lower({c}), 'nation_1')")}"""
 
 
 @query("faceted_search", _FACETS)
 def faceted(spark, sf):
-    found = search.faceted_search(decisions(spark, sf), "scc", "agosto", "nation_1")
+    found = search.faceted_search(store(spark, sf), "scc", "agosto", "nation_1")
     return found.select(*_SEARCHED.split(", "))
 
 
 @query("faceted_count", f"SELECT count(*) AS total FROM ({_FACETS})")
 def faceted_count(spark, sf):
-    return search.faceted_count(decisions(spark, sf), sala="casacion_civil", mes="agosto", q="NATION_1")
+    return search.faceted_count(store(spark, sf), sala="casacion_civil", mes="agosto", q="NATION_1")
 
 
 _MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio")

@@ -24,6 +24,13 @@ def test_query(spark, connection, name):
     assert connection.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 0, "no row can tell anything"
 
 
+@pytest.mark.parametrize("name", ["store_search", "faceted_search", "faceted_count"])
+def test_searches_read_the_store(name):
+    """One row for each link: the searches run on what the upsert leaves, not on all versions."""
+    sql = entry.oracle_sql()[name]
+    assert ", store AS (" in sql and "FROM store WHERE" in sql
+
+
 def test_entry(spark):
     found = entry.entry(spark)
     assert len(found.columns) == 9 and found.count() > 0
