@@ -159,10 +159,14 @@ def anchors_body(rows: Column) -> Column:
     )
 
 
-def grouped(dec: DataFrame) -> DataFrame:
-    """One row per payload page: `resp_id`, `sala_key`, `ano` and its decisions `rows` by arrival."""
+# What the short HTML payloads show; Spark drops no fields from rows that it has gathered.
+_SHOWN = ("numero_sentencia", "expediente", "fecha", "tema", "link_directo")
+
+
+def grouped(dec: DataFrame, fields: tuple[str, ...] = tuple(_RAW_NAMES.values())) -> DataFrame:
+    """One row per payload page: `resp_id`, `sala_key`, `ano` and the fields of its decisions, `rows` by arrival."""
     page = F.expr(f"arrival div {PAGE_SIZE}").alias("page")
-    kept = ["arrival", *_RAW_NAMES.values()]
+    kept = ["arrival", *fields]
     return (
         dec.groupBy("sala_key", "ano", page)
         .agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("rows"))
@@ -184,11 +188,11 @@ def json_responses(dec: DataFrame) -> DataFrame:
 
 
 def row_responses(dec: DataFrame) -> DataFrame:
-    return responses(grouped(dec), rows_body(F.col("rows")))
+    return responses(grouped(dec, _SHOWN), rows_body(F.col("rows")))
 
 
 def anchor_responses(dec: DataFrame) -> DataFrame:
-    return responses(grouped(dec), anchors_body(F.col("rows")))
+    return responses(grouped(dec, _SHOWN), anchors_body(F.col("rows")))
 
 
 def single_responses(dec: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def topics_by_sala(spark, sf):
 def _topics(spark, sf, **limits):
     dec = decisions(spark, sf)
     item = lambda r: F.concat(F.lit('<p><a href="'), r["link_directo"], F.lit('">x</a></p>'))
-    listings = grouped(dec).select(
+    listings = grouped(dec, ("link_directo",)).select(
         "resp_id", "sala_key", F.array_join(F.transform("rows", item), "").alias("html")
     ).withColumn("sala", F.col("resp_id").cast("string"))
     newest = dec.groupBy("link_directo").agg(

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from jurisindex.catalog.fixture import anchor_responses, row_responses
 from jurisindex.functions.citation import citation
 from jurisindex.operators.anchors import anchor_blocks, anchor_context
 from jurisindex.operators.html_items import html_decisions
@@ -104,6 +105,16 @@ def test_anchors_only_without_table_rows(spark):
     assert [r[0] for r in found[1]] == ["fila"]
 
 
+def test_pages_of_short_fields_gather_no_texts(spark):
+    names = ("numero_sentencia", "expediente", "fecha", "tema", "link_directo", "materia", "asunto", "extracto", "ponente")
+    dec = spark.range(1000).select(F.col("id").alias("arrival"), F.lit("plena").alias("sala_key"), F.lit(2024).alias("ano"),
+                                   *[F.concat(F.lit(n), "id").alias(n) for n in names])
+    for made in (row_responses(dec), anchor_responses(dec)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "link_directo" in plan and "extracto" not in plan and "asunto" not in plan
+        assert made.where("body LIKE '%link_directo499%' AND body LIKE '%tema0%'").count() == 1
+
+
 def test_short_html_holds_nothing(spark):
     assert html_decisions(responses(spark, ["<tr><td><a href='tsj.gob.ve'>x</a>"])).count() == 0
 
