@@ -154,14 +154,14 @@ _READ = ("arrival bigint, sala_key string, sala string, numero_sentencia string,
 @query("export_json", DEC + f"SELECT {_PLAIN} FROM dec")
 def export_json(spark, sf):
     path = new_folder(spark, "export-json")
-    write_json(decisions(spark, sf).select(*_PLAIN.split(", ")), path)
+    write_json(decisions(spark, sf).select(*_PLAIN.split(", ")), path, "gzip")
     return spark.read.schema(_READ).json(path)
 
 
 @query("export_csv", DEC + f"SELECT {_PLAIN} FROM dec")
 def export_csv(spark, sf):
     path = new_folder(spark, "export-csv")
-    write_csv(decisions(spark, sf).select(*_PLAIN.split(", ")), path)
+    write_csv(decisions(spark, sf).select(*_PLAIN.split(", ")), path, "gzip")
     return spark.read.schema(_READ).csv(path, header=True, escape='"', multiLine=True)
 
 
@@ -172,7 +172,7 @@ _MATRIX = """SELECT 'Sala ' || replace(replace(sala, 'Sala de ', ''), 'Sala ', '
 @query("export_matrix_file", STORE + _MATRIX + "store")
 def export_matrix_file(spark, sf):
     path = new_folder(spark, "export-matrix")
-    write_matrix(store(spark, sf), path)
+    write_matrix(store(spark, sf), path, "gzip")
     schema = ", ".join(f"`{header}` string" for header in MATRIX_HEADERS.values())
     read = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
     return read.withColumnsRenamed({header: name for name, header in MATRIX_HEADERS.items()})
@@ -211,7 +211,7 @@ UNION ALL SELECT 'matriz', 'Sala ' || {_SHORT}, numero_sentencia, expediente, fe
 UNION ALL SELECT 'catalogo', {_SHORT}, numero_sentencia, expediente, fecha, substr(asunto, 1, 75) FROM hits""")
 def tech_report_formats(spark, sf):
     """The consolidated report on digital evidence in all its formats, as they are read again."""
-    written = export(_report(spark, sf), new_folder(spark, "report"), "all")
+    written = export(_report(spark, sf), new_folder(spark, "report"), "all", "gzip")
     columns = ["sala", "numero_sentencia", "expediente", "fecha", "asunto"]
     parts = [_read_export(spark, formato, path).select(F.lit(formato).alias("formato"), *columns) for formato, path in written.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -231,7 +231,7 @@ def export_formats(spark, sf):
     found = _report(spark, sf)
     counted = []
     for formato in FORMATS:
-        written = export(found, new_folder(spark, "formats"), formato.upper())
+        written = export(found, new_folder(spark, "formats"), formato.upper(), "gzip")
         counted += [_read_export(spark, name, path).agg(F.lit(formato).alias("formato"), F.lit(name).alias("escrito"),
                                                         F.count("*").alias("n")) for name, path in written.items()]
     return reduce(DataFrame.unionByName, counted)

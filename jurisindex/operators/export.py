@@ -51,26 +51,27 @@ def catalog_total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
     """CSV with a header; quotes inside fields are doubled, line ends and outer spaces kept."""
     whole = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.mode("overwrite").options(header=True, **whole).csv(path)
+    df.write.mode("overwrite").options(header=True, **whole).csv(path, compression=compression)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
     """One JSON object per line, empty fields included."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
 
 
-def write_matrix(df: DataFrame, path: str) -> None:
+def write_matrix(df: DataFrame, path: str, compression: str | None = None) -> None:
     """The decision matrix as a table file with its headers."""
-    write_csv(export_matrix(df).withColumnsRenamed(MATRIX_HEADERS), path)
+    write_csv(export_matrix(df).withColumnsRenamed(MATRIX_HEADERS), path, compression)
 
 
-def export(df: DataFrame, folder: str, fmt: str = "all") -> dict[str, str]:
+def export(df: DataFrame, folder: str, fmt: str = "all", compression: str | None = None) -> dict[str, str]:
     """Write the wanted formats below `folder`; returns the path of each.
 
-    Every writer runs in parallel and leaves one file per task.
+    Every writer runs in parallel and leaves one file per task.  With `compression`, such as gzip, whole texts take
+    a part of the disk; Spark reads such files again without being told, each in one task.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
@@ -78,14 +79,14 @@ def export(df: DataFrame, folder: str, fmt: str = "all") -> dict[str, str]:
     written = {}
     if fmt in ("json", "all"):
         written["json"] = f"{folder}/json"
-        write_json(df, written["json"])
+        write_json(df, written["json"], compression)
     if fmt in ("excel", "xlsx", "all"):
         written["matriz"] = f"{folder}/matriz"
-        write_matrix(df, written["matriz"])
+        write_matrix(df, written["matriz"], compression)
     if fmt in ("csv", "all"):
         written["csv"] = f"{folder}/csv"
-        write_csv(df, written["csv"])
+        write_csv(df, written["csv"], compression)
     if fmt in ("pdf", "all"):
         written["catalogo"] = f"{folder}/catalogo"
-        write_csv(summary_catalog(df), written["catalogo"])
+        write_csv(summary_catalog(df), written["catalogo"], compression)
     return written

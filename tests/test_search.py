@@ -188,6 +188,21 @@ def test_export(spark, store, tmp_path):
         export(store, str(tmp_path), "doc")
 
 
+def test_compressed_export(spark, tmp_path):
+    rows = [("l1", 'x "y"\nz, ' * 2000, None), ("l2", "", "a")]
+    df = spark.createDataFrame(rows, "link_directo string, extracto string, asunto string").coalesce(1)
+    sizes = {}
+    for codec in (None, "gzip"):
+        written = export(df, str(tmp_path / str(codec)), "all", codec)
+        assert spark.read.schema(df.schema).json(written["json"]).sort("link_directo").collect() == df.sort("link_directo").collect()
+        again = spark.read.csv(written["matriz"], header=True, escape='"', multiLine=True)
+        assert again.count() == 2 and rows[0][1] in {v for r in again.collect() for v in r}
+        files = [f for path in written.values() for f in (tmp_path / str(codec)).glob(f"{path.rsplit('/', 1)[1]}/part-*")]
+        assert len(files) == 4 and all(f.name.endswith(".gz") == (codec == "gzip") for f in files)
+        sizes[codec] = sum(f.stat().st_size for f in files)
+    assert 5 * sizes["gzip"] < sizes[None]
+
+
 def test_matrix_and_catalog(store):
     row = export_matrix(store.where("link_directo = 'l2'")).first()
     assert (row.sala, row.asunto, row.extracto) == ("Sala Electoral", "", "á_b")
