@@ -1,74 +1,70 @@
-"""Counts that follow the store while it grows, as a streaming query with keyed state.
+"""Counts that follow the store while it grows, as a streaming query.
 
-The state of a (chamber, link) is what its current version counts for.  A later version takes the count of the
-earlier one back, so the sums of all changes are at any time the counts of the store, which keeps one row for
-each chamber and link; the store itself is never read.
+A micro-batch compares the last version of each of its links with the one that counted so far.  A later version takes
+the count of the earlier one back, so the sums of all changes are at any time the counts of the store, which keeps one
+row for each chamber and link; the store itself is never read.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jurisindex.operators.captured import ARRIVAL_TYPE
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-CHANGES = "sala_key string, sala string, ano int, cambio bigint"
 COUNTS = "sala_key string, sala string, ano int, n bigint"
-STATE = f"arrival {ARRIVAL_TYPE}, sala string, ano int"
-
-
-def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes that new versions of one link make; earlier or equal arrivals change nothing."""
-    seen = state.get if state.exists else None
-    last = seen
-    for part in rows:
-        for arrival, sala, ano in zip(part["arrival"], part["sala"], part["ano"]):
-            if last is None or arrival > last[0]:
-                last = (arrival, sala, int(ano))
-    if last is seen:
-        return
-    state.update(last)
-    changes = [(key[0], last[1], last[2], 1)]
-    if seen is not None:
-        if seen[1:] == last[1:]:
-            return
-        changes.append((key[0], seen[1], seen[2], -1))
-    yield pd.DataFrame(changes, columns=["sala_key", "sala", "ano", "cambio"])
-
-
-def store_changes(accepted: DataFrame) -> DataFrame:
-    """(sala_key, sala, ano, cambio) of a stream of accepted rows: +1 for what a link counts for now, -1 for before.
-
-    Rows come in any order and any number of times: the greatest arrival of a link is its current version.
+VERSION = f"struct<arrival:{ARRIVAL_TYPE},sala:string,ano:int>"
+# Spark leaves folders with an underscore out when it reads the changes.
+VERSIONS = "_versiones"
+
+
+def later_versions(accepted: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """(sala_key, link_directo, ahora, antes): links of `accepted` whose last version is later than that in `counted`.
+
+    Rows come in any order and any number of times: the greatest arrival of a link is its current version, and earlier
+    or equal ones change nothing.  `counted` are such rows of earlier batches.  Rows are combined in their tasks.
     """
-    keyed = accepted.select("sala_key", "link_directo", F.col("arrival").cast(ARRIVAL_TYPE).alias("arrival"), "sala", "ano")
-    return keyed.groupBy("sala_key", "link_directo").applyInPandasWithState(
-        _follow, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
+    arrived = accepted.select(
+        "sala_key", "link_directo", F.lit(None).cast(VERSION).alias("antes"),
+        F.struct(F.col("arrival").cast(ARRIVAL_TYPE).alias("arrival"), "sala", "ano").cast(VERSION).alias("ahora"),
+    )
+    if counted is not None:
+        arrived = arrived.unionByName(counted.select(
+            "sala_key", "link_directo", F.col("ahora").alias("antes"), F.lit(None).cast(VERSION).alias("ahora")))
+    versions = arrived.groupBy("sala_key", "link_directo").agg(F.max("ahora").alias("ahora"), F.max("antes").alias("antes"))
+    return versions.where("ahora IS NOT NULL AND (antes IS NULL OR ahora.arrival > antes.arrival)")
+
+
+def changes(versions: DataFrame) -> DataFrame:
+    """(sala_key, sala, ano, n) of later versions: +1 for what a link counts for now, -1 for before."""
+    signed = lambda version, n: F.struct(version["sala"].alias("sala"), version["ano"].alias("ano"), F.lit(n).alias("cambio"))
+    ahora, antes = F.col("ahora"), F.col("antes")
+    both = F.when(antes.isNull(), F.array(signed(ahora, 1))).otherwise(F.array(signed(ahora, 1), signed(antes, -1)))
+    rows = versions.select("sala_key", F.explode(both).alias("c")).select("sala_key", "c.*")
+    return rows.groupBy("sala_key", "sala", "ano").agg(F.sum("cambio").alias("n")).where("n <> 0")
 
 
 def follow_store(accepted: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
     """Keep the counts of the store that a stream of accepted rows makes, below `path`.
 
-    A micro-batch adds one small folder, named by its number, with a row for each chamber and year it changes;
-    a batch that is delivered again replaces its own.
+    A micro-batch adds the versions it brought, without texts, and one small folder, named by its number, with a row
+    for each chamber and year it changes; a batch that is delivered again replaces its own.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.groupBy("sala_key", "sala", "ano").agg(F.sum("cambio").alias("n")).where("n <> 0")
+        spark, folder = batch.sparkSession, f"{path}/{VERSIONS}"
+        schema = f"sala_key string, link_directo string, ahora {VERSION}, antes {VERSION}"
+        earlier = [f"{folder}/tanda={i}" for i in range(batch_id)]
+        counted = spark.read.schema(schema).parquet(*earlier) if earlier else None
+        later_versions(batch, counted).write.mode("overwrite").parquet(f"{folder}/tanda={batch_id}")
+        changed = changes(spark.read.schema(schema).parquet(f"{folder}/tanda={batch_id}"))
         changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/tanda={batch_id}")
 
-    writer = store_changes(accepted).writeStream.outputMode("update").foreachBatch(publish)
+    writer = accepted.select("sala_key", "link_directo", "arrival", "sala", "ano").writeStream.foreachBatch(publish)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
