@@ -15,7 +15,9 @@ from jurisindex.operators.stats import stats_total
 from jurisindex.operators.saved_store import (
     committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, run_counts, save_batch,
 )
-from jurisindex.operators.upsert import KEY, VALUES, checked, save_counts, split_rejects, upsert, write_defaults
+from jurisindex.operators.upsert import (
+    KEY, VALUES, checked, last_rows, merge_versions, save_counts, split_rejects, upsert, write_defaults,
+)
 from jurisindex.plans.sync import captured_decisions, save_checked, sync, sync_batch
 from jurisindex.sources.captures import stream_responses
 from jurisindex.streaming.stream import sync_info, sync_stream
@@ -104,6 +106,40 @@ def test_late_saves(spark, dec, whole, tmp_path):
     assert found.where("buscable IS NULL").count() == 0
 
 
+def test_staged_saves_move_last_versions_only(spark, tmp_path):
+    # Twenty versions of each link, some rows twice; a link without arrivals and one without values.
+    base = spark.range(4_000).select(
+        F.col("id").alias("arrival"), F.concat(F.lit("l"), F.col("id") % 200).alias(KEY), F.lit("plena").alias("sala_key"),
+        F.when(F.col("id") % 3 > 0, F.repeat(F.col("id").cast("string"), 5)).alias("extracto"))
+    gone = base.limit(1).select(F.lit(None).cast("long").alias("arrival"), F.lit("gone").alias(KEY), "sala_key", "extracto")
+    base.union(base.where("arrival % 7 = 0")).union(gone).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    for keys in ((KEY,), ("sala_key", KEY)):
+        few, once = merge_versions(last_rows(batch, keys), keys), upsert(None, batch, keys)
+        assert rows(few, [KEY, "first_seen", "last_seen"]) == rows(once, [KEY, "first_seen", "last_seen"])
+        assert sorted(map(str, few.select(*once.columns).collect())) == sorted(map(str, once.collect()))
+        # Earlier versions are dropped where they are read; a few may share a bit.
+        assert last_rows(batch, keys).where("extracto IS NOT NULL").count() < 300
+
+
+def test_staged_rows_are_deleted(spark, dec, whole, tmp_path):
+    path, staging = str(tmp_path / "store"), tmp_path / "staging"
+    for part in (1, 2, 0):
+        save_checked(write_defaults(dec.where(f"pmod(hash(arrival), 3) = {part}")), path, f"2026-01-0{part + 1} 00:00:00", staging=str(staging))
+        assert not staging.exists()
+    assert rows(read_store(spark, path)) == whole
+    seen = run_counts(spark, path).agg(F.sum("capturadas"), F.sum("aceptadas"), F.sum("rechazadas")).first()
+    assert tuple(seen) == (dec.count(), dec.count(), 0)
+
+
+def test_dealt_decisions_are_the_same(spark):
+    # One small file of orders is one task, however long the texts that are joined to it.
+    given, dealt = decisions(spark, "/root/testdata/sf0.1"), decisions(spark, "/root/testdata/sf0.1", dealt=True)
+    assert given.select("arrival").rdd.getNumPartitions() < 8 <= dealt.select("arrival").rdd.getNumPartitions()
+    small, spread = decisions(spark, SF), decisions(spark, SF, dealt=True)
+    assert small.dtypes == spread.dtypes and rows(small, small.columns) == rows(spread, small.columns)
+
+
 def test_counts_do_not_move_texts(dec):
     plan = stats_total(upsert(None, dec))._jdf.queryExecution().executedPlan().toString()
     assert "extracto" not in plan and "max_by" not in plan
