@@ -10,7 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from jurisindex.catalog import QUERIES
 from jurisindex.functions import markup as M
+from jurisindex.functions import predicates as P
 from jurisindex.functions import text as T
 
 SAMPLES = [
@@ -111,6 +113,27 @@ def test_long_markup_does_not_overflow(spark):
     assert run(spark, [html, "<" * 100_000, "<p" * 50_000], M.visible_text("v"))[0] == "uno\n\ndos"
 
 
+def test_pages_are_read_once(spark):
+    # The page's nodes were made anew for each of their four uses, and one small file of orders was one task.
+    plan = QUERIES["court_page_texts"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("script|style") == 1 and "RepartitionByExpression" in plan
+
+
+def test_lines_of_visible_text(spark):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    pages = [f"<p>uno{end}dos</p>{end}{end}<p>tres &#13; cuatro\n</p>" for end in ends]
+    assert run(spark, [*pages, "", "\n"], M.visible_text("v")) == ["uno\n\ndos\n\ntres\n\ncuatro"] * len(ends) + ["", ""]
+
+
+def test_keywords_by_their_shared_parts(spark):
+    keywords = [*P.TECH_KEYWORDS]
+    parts = P.shared_parts(tuple(keywords))
+    assert len(parts) < len(keywords) / 2 and all(any(part in k for part in parts) for k in keywords)
+    values = [*keywords, *[f"x{k.upper()}." for k in keywords], *[k[:-1] + "_" for k in keywords], *parts, "", "delitos de"]
+    assert run(spark, values, P.has_keyword("v")) == [any(k in v.lower() for k in keywords) for v in values]
+    assert run(spark, ["ab", "b"], P.has_keyword("v", ["ab"])) == [True, False]
+
+
 def test_anchors(spark):
     html = """<a href="/a.html">A</a><a name=x>no</a><A class='c' HREF='b.HTML?x=1&amp;y=2'><b>B</b> c</a>
     <a data-href="no" href=c.html>C<a href="d">D"""
