@@ -339,9 +339,9 @@ def flagship(spark, sf):
 @query("decision_far_down", STORE + f"""
 SELECT {_SEARCHED}, first_seen FROM store ORDER BY ano DESC, first_seen DESC LIMIT 1 OFFSET (SELECT count(*) * 9 // 10 FROM store)""")
 def decision_far_down(spark, sf):
-    """The row nine tenths down the newest ones; only its range is sorted."""
-    current = store(spark, sf)
-    return search.newest_at(current, current.count() * 9 // 10).select(*_SEARCHED.split(", "), "first_seen")
+    """The row nine tenths down the newest ones; only its range is sorted, and only its texts are read."""
+    current = store(spark, sf, late=False)
+    return search.newest_at(current, current.count() * 9 // 10, key="link_directo").select(*_SEARCHED.split(", "), "first_seen")
 
 
 @query("refine", STORE + f"""

@@ -115,11 +115,13 @@ def decision_at(result: DataFrame, position: int) -> DataFrame:
     return detail_view(result.offset(position).limit(1))
 
 
-def newest_at(store: DataFrame, position: int, ranges: int = 256) -> DataFrame:
+def newest_at(store: DataFrame, position: int, ranges: int = 256, key: str | None = None) -> DataFrame:
     """The row at a place (from 0) of `newest_first`, however far down; no row beyond the end.
 
     Rows are counted by year and, in the year that holds the place, by ranges of their arrival.  Only the
     range with the place is sorted.  What comes to the driver is a count for each year and each range.
+    `key` names a column without repeats, for stores that are made when read: the place is then found by years,
+    arrivals and keys alone, and the row is read by its key, so that no other row's values are made or moved.
     """
     def placed(counts: list[Row], left: int) -> tuple[Row | None, int]:
         for row in counts:
@@ -138,4 +140,7 @@ def newest_at(store: DataFrame, position: int, ranges: int = 256) -> DataFrame:
     ranged = inside.withColumn("_rango", F.size(F.filter(cuts, lambda c: c < F.col("first_seen"))))
     chosen, left = placed(ranged.groupBy("_rango").count().orderBy(F.desc("_rango")).collect(), left)
     part = ranged.where(F.col("_rango") == chosen["_rango"]).drop("_rango")
-    return newest_first(part).offset(left).limit(1)
+    if key is None:
+        return newest_first(part).offset(left).limit(1)
+    found = newest_first(part.select(key, "ano", "first_seen")).offset(left).limit(1).first()
+    return store.where(F.col(key).eqNullSafe(F.lit(found[key]).cast(store.schema[key].dataType)))

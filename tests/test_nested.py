@@ -79,3 +79,21 @@ def test_a_row_at_any_place(spark):
         assert [r.link_directo for r in search.newest_at(store, place, ranges=8).collect()] == [ordered[place]]
     assert search.newest_at(store, 300).count() == 0 and search.newest_at(store.limit(0), 0).count() == 0
     assert search.newest_at(store.where(F.col("first_seen") == 7), 0).first().link_directo == "l7"
+
+
+def test_a_row_at_any_place_is_read_by_its_key(spark):
+    from jurisindex.operators.upsert import upsert
+
+    draw = random.Random(3)
+    texts = spark.range(40).select(F.col("id").alias("t"), F.concat(F.lit("texto "), F.col("id")).alias("extracto"))
+    rows = [(n, draw.choice([None, *[f"l{k}" for k in range(90)]]), draw.choice([2001, 2002, 2003]), n % 40) for n in range(300)]
+    batch = spark.createDataFrame(rows, "arrival bigint, link_directo string, ano int, t bigint").join(texts, "t").drop("t")
+    store = upsert(None, batch)
+    ordered = search.newest_first(store).collect()
+    for place in (0, 17, 60, len(ordered) - 1, [r.link_directo for r in ordered].index(None)):
+        found = search.newest_at(store, place, ranges=8, key="link_directo")
+        assert found.collect() == [ordered[place]]
+        # The other rows are ruled out below the upsert, before their texts are joined.
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Join") < plan.index("Filter")
+    assert search.newest_at(store, len(ordered), key="link_directo").count() == 0
