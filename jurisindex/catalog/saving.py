@@ -12,7 +12,7 @@ from jurisindex.catalog.fixture import HOSTS
 from jurisindex.catalog.registry import query
 from jurisindex.functions.constants import MATRIX_HEADERS, TECH_KEYWORDS
 from jurisindex.operators.export import (
-    FORMATS, catalog_total, export, export_matrix, summary_catalog, write_csv, write_json, write_matrix,
+    FORMATS, catalog_total, export, export_matrix, made_once, summary_catalog, write_csv, write_json, write_matrix,
 )
 from jurisindex.operators.search import tech_filter
 from jurisindex.operators.stats import stats_all
@@ -192,7 +192,7 @@ _SHORT = "replace(replace(sala, 'Sala de ', ''), 'Sala ', '')"
 
 
 def _report(spark, sf):
-    dec = decisions(spark, sf).withColumn("texto_completo", F.concat_ws(" ", "tema", "extracto"))
+    dec = decisions(spark, sf, dealt=True).withColumn("texto_completo", F.concat_ws(" ", "tema", "extracto"))
     return tech_filter(dec).drop("texto_completo", "arrival")
 
 
@@ -211,7 +211,8 @@ UNION ALL SELECT 'matriz', 'Sala ' || {_SHORT}, numero_sentencia, expediente, fe
 UNION ALL SELECT 'catalogo', {_SHORT}, numero_sentencia, expediente, fecha, substr(asunto, 1, 75) FROM hits""")
 def tech_report_formats(spark, sf):
     """The consolidated report on digital evidence in all its formats, as they are read again."""
-    written = export(_report(spark, sf), new_folder(spark, "report"), "all", "gzip")
+    found = made_once(_report(spark, sf), new_folder(spark, "report-rows"))
+    written = export(found, new_folder(spark, "report"), "all", "gzip")
     columns = ["sala", "numero_sentencia", "expediente", "fecha", "asunto"]
     parts = [_read_export(spark, formato, path).select(F.lit(formato).alias("formato"), *columns) for formato, path in written.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -228,7 +229,7 @@ def total_of_catalog(spark, sf):
 SELECT formato, escrito, count(*) AS n FROM asked, hits GROUP BY ALL""")
 def export_formats(spark, sf):
     """What each choice of a format writes, with the number of rows that are read again."""
-    found = _report(spark, sf)
+    found = made_once(_report(spark, sf), new_folder(spark, "report-rows"))
     counted = []
     for formato in FORMATS:
         written = export(found, new_folder(spark, "formats"), formato.upper(), "gzip")

@@ -9,8 +9,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from jurisindex.catalog import saving
 from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
+from jurisindex.operators.export import export, made_once
 from jurisindex.operators.stats import stats_total
 from jurisindex.operators.saved_store import (
     committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, run_counts, save_batch,
@@ -140,6 +142,26 @@ def test_dealt_decisions_are_the_same(spark):
     assert small.dtypes == spread.dtypes and rows(small, small.columns) == rows(spread, small.columns)
 
 
+def test_exports_of_rows_made_once(spark, tmp_path):
+    """A report's rows are made for the first file only, by several tasks; all files have them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(value):
+        made.add(1)
+        return None if value % 7 == 0 else f'{value}, "x"\n ñ '
+
+    given = spark.range(0, 100, 1, 4).select(F.lit("Sala Plena").alias("sala"), dear("id").alias("asunto"), F.lit("").alias("fecha"))
+    once = made_once(given, str(tmp_path / "rows"))
+    written = export(once, str(tmp_path / "report"), "all", "gzip")
+    assert made.value == 100 and once.rdd.getNumPartitions() > 1
+    assert sorted(written) == ["catalogo", "csv", "json", "matriz"] and once.dtypes == given.dtypes
+    assert {name: saving._read_export(spark, name, path).count() for name, path in written.items()} == dict.fromkeys(written, 100)
+    back = spark.read.schema(given.schema).json(written["json"])
+    assert rows(back.na.fill("-"), given.columns) == rows(once.na.fill("-"), given.columns)
+    assert saving._report(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 8
+
+
 def test_counts_do_not_move_texts(dec):
     plan = stats_total(upsert(None, dec))._jdf.queryExecution().executedPlan().toString()
     assert "extracto" not in plan and "max_by" not in plan
