@@ -39,7 +39,8 @@ def upsert_batches(spark, sf):
     """Two batches by topic, the later-arrived rows spread over both."""
     dec = decisions(spark, sf).drop("ponente")
     digital = F.lower("tema").contains("digital")
-    return upsert(upsert(None, dec.where(digital)), dec.where(~digital)).select(*_COLUMNS.split(", "))
+    first = upsert(None, dec.where(digital), late=True)
+    return upsert(first, dec.where(~digital), late=True).select(*_COLUMNS.split(", "))
 
 
 def _flawed(spark, sf):
