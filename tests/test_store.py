@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from jurisindex.catalog import saving
+from jurisindex.catalog import finding, saving
 from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
 from jurisindex.operators.export import export, made_once
@@ -18,7 +18,7 @@ from jurisindex.operators.saved_store import (
     committed, compact, drop_covered, merged_by_link, read_store, read_store_if_any, run_counts, save_batch,
 )
 from jurisindex.operators.upsert import (
-    KEY, VALUES, checked, last_rows, merge_versions, save_counts, split_rejects, upsert, write_defaults,
+    KEY, VALUES, checked, last_rows, last_versions, merge_versions, save_counts, split_rejects, upsert, write_defaults,
 )
 from jurisindex.plans.sync import captured_decisions, save_checked, sync, sync_batch
 from jurisindex.sources.captures import stream_responses
@@ -108,6 +108,19 @@ def test_late_saves(spark, dec, whole, tmp_path):
     assert found.where("buscable IS NULL").count() == 0
 
 
+def test_queries_that_save_shuffle_last_versions_only(spark, monkeypatch):
+    """Upserts and saves of joined texts look for the last versions first."""
+    from jurisindex.operators import saved_store
+
+    plan = saving.upsert_batches(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+    taken = []
+    monkeypatch.setattr(saved_store, "last_versions", lambda *a, **k: taken.append(1) or last_versions(*a, **k))
+    finding._indexed_store(spark, SF)
+    saving.broken_store(spark, SF)
+    assert len(taken) == 4
+
+
 def test_staged_saves_move_last_versions_only(spark, tmp_path):
     # Twenty versions of each link, some rows twice; a link without arrivals and one without values.
     base = spark.range(4_000).select(
