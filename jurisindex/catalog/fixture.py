@@ -63,6 +63,10 @@ JOIN {customer} c ON c.c_custkey = b.ck
 JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 JOIN {documents} d ON d.doc_id = b.did"""
 
+# The same rows before they are joined with their document: its number, `did`, stands for the two texts.
+_TEXTS = "substr(d.text, 1, 200) AS asunto, d.text AS extracto"
+_REFERRING = _DECISIONS.replace(_TEXTS, "b.did").replace("\nJOIN {documents} d ON d.doc_id = b.did", "")
+
 _TABLES = ("orders", "documents", "customer", "nation")
 _NAMES = {t: t for t in _TABLES}
 
@@ -109,6 +113,18 @@ def decisions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFram
     return spark.sql("WITH " + _DIMENSIONS.format(**named) + _DECISIONS.format(**named), orders=orders.repartition(tasks, "o_orderkey"))
 
 
+def referring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`dec` with the numbers of its documents, for work that comes before its texts; see `with_texts`."""
+    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in _TABLES}
+    return spark.sql("WITH " + _DIMENSIONS.format(**files) + _REFERRING.format(**files))
+
+
+def with_texts(dec: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of `referring` with the texts of their documents; rows without a document are left out, as in `dec`."""
+    texts = documents.select(F.col("doc_id").alias("did"), F.substring("text", 1, 200).alias("asunto"), F.col("text").alias("extracto"))
+    return dec.join(texts, "did").drop("did")
+
+
 def store(spark: SparkSession, sf_dir: str, late: bool = True) -> DataFrame:
     """`dec` after upsert: one row per link; not `late` for counts, which read no texts."""
     return upsert(None, decisions(spark, sf_dir).drop("ponente"), late=late)
@@ -216,12 +232,13 @@ def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("sala_key", "ano", rows.alias("rows")).select(F.col("rows")[0]["arrival"].alias("resp_id"), "sala_key", "ano", "rows")
 
 
-def responses(pages: DataFrame, body: Column) -> DataFrame:
+def responses(pages: DataFrame, body: Column, *kept: str) -> DataFrame:
     return pages.select(
         "resp_id", "sala_key", "ano",
         F.concat(F.lit(PORTAL_URL), "sala_key").alias("url"),
         F.lit(200).alias("status"),
         body.alias("body"),
+        *kept,
     )
 
 
@@ -241,16 +258,16 @@ def anchor_responses(dec: DataFrame) -> DataFrame:
     return responses(grouped(dec, _SHOWN), anchors_body(F.col("rows")))
 
 
-def single_responses(dec: DataFrame) -> DataFrame:
-    """One response per decision, as JSON, for the electoral chamber as a table row."""
+def single_responses(dec: DataFrame, *kept: str) -> DataFrame:
+    """One response per decision, as JSON, for the electoral chamber as a table row; `kept` columns stay beside it."""
     rows = dec.select(
         F.col("arrival").alias("resp_id"), "sala_key", "ano",
-        F.array(F.struct(*_RAW_NAMES.values())).alias("rows"),
+        F.array(F.struct(*_RAW_NAMES.values())).alias("rows"), *kept,
     )
     body = F.when(F.col("sala_key") == "electoral", rows_body(F.col("rows"))).otherwise(
         json_body(F.col("rows"), F.col("sala_key"))
     )
-    return responses(rows, body)
+    return responses(rows, body, *kept)
 
 
 def decision_pages(dec: DataFrame) -> DataFrame:

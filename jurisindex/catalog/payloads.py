@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jurisindex.catalog.fixture import (
     DEC, HOSTS, PAGED, PORTAL_URL, anchor_responses, decision_pages, decisions, json_pages,
-    row_responses, single_responses, grouped, whole_pages,
+    referring, row_responses, single_responses, grouped, table, whole_pages, with_texts,
 )
 from jurisindex.catalog.registry import query
 from jurisindex.functions.constants import TECH_KEYWORDS
@@ -48,14 +48,16 @@ SELECT arrival AS resp_id, CASE WHEN tema IN ('Amparo', 'Casación') OR sala_key
   ELSE 'json' END AS ruta FROM dec""")
 def response_routing(spark, sf):
     """Table rows are HTML, and so is JSON that is cut off or followed by something."""
-    raw = single_responses(decisions(spark, sf))
-    tema = decisions(spark, sf).select(F.col("arrival").alias("resp_id"), "tema")
+    tema = decisions(spark, sf).select("arrival", "tema")
+    # Joined before the rows have their texts, so that no body is shuffled.
+    dec = referring(spark, sf).drop("tema").join(tema, "arrival")
+    raw = single_responses(with_texts(dec, table(spark, sf, "documents")), "tema")
     body = (
         F.when(F.col("tema") == "Amparo", F.concat("body", F.lit(" <html>")))
         .when(F.col("tema") == "Casación", F.substr("body", F.lit(2)))
         .otherwise(F.col("body"))
     )
-    return routed(raw.join(tema, "resp_id").withColumn("body", body)).select("resp_id", "ruta")
+    return routed(raw.withColumn("body", body)).select("resp_id", "ruta")
 
 
 @query("json_items", PAGED + "SELECT resp_id, sala_key, ano, pos, link_directo AS link FROM paged")

@@ -9,8 +9,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from jurisindex.catalog import finding, saving
-from jurisindex.catalog.fixture import decisions, single_responses, HOSTS
+from jurisindex.catalog import finding, payloads, saving
+from jurisindex.catalog.fixture import decisions, referring, single_responses, with_texts, HOSTS
 from jurisindex.functions.constants import SITE_ROOT
 from jurisindex.operators.export import export, made_once
 from jurisindex.operators.stats import stats_total
@@ -137,6 +137,32 @@ def test_staged_saves_move_last_versions_only(spark, tmp_path):
         assert last_rows(batch, keys).where("extracto IS NOT NULL").count() < 300
 
 
+def test_staged_upsert(spark, tmp_path):
+    """Rows are made once; earlier versions are dropped where they are read, before the shuffle."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(value):
+        made.add(1)
+        return None if value % 5 == 0 else f"t{value}"
+
+    batch = spark.range(0, 2_000, 1, 4).select(
+        F.col("id").alias("arrival"), F.when(F.col("id") % 100 > 0, F.concat(F.lit("l"), F.col("id") % 100)).alias(KEY), dear("id").alias("extracto"))
+    staged = upsert(None, batch, staging=str(tmp_path / "staging"))
+    assert made.value == 2_000 and staged.count() == 100
+    assert sorted(map(str, staged.collect())) == sorted(map(str, upsert(None, batch).select(staged.columns).collect()))
+
+
+def test_routing_joins_before_texts(spark):
+    """No body is shuffled: the rows are joined while a number stands for their texts."""
+    plan = payloads.response_routing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "did#" in joins[0] and "did#" not in joins[1]
+    whole = with_texts(referring(spark, SF), spark.read.parquet(f"{SF}/documents.parquet"))
+    columns = sorted(whole.columns)
+    assert rows(whole, columns) == rows(decisions(spark, SF), columns)
+
+
 def test_staged_rows_are_deleted(spark, dec, whole, tmp_path):
     path, staging = str(tmp_path / "store"), tmp_path / "staging"
     for part in (1, 2, 0):
